@@ -8,12 +8,32 @@ from pyspark.sql import types as T
 
 from auditlens import fixed
 from auditlens.functions.scalars import c, float_of, safe_num
-from auditlens.functions.texts import strip_blanks
 
 
 def plain_key(key: Column) -> Column:
     """Column part of a payload key, lower case."""
-    return F.lower(F.element_at(F.split(key, r"\."), -1))
+    return F.lower(F.substring_index(key, ".", -1))
+
+
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _named(payload: Column, aliases, usable) -> Column:
+    """Usable payload values whose key or column part is one of the aliases, with that alias."""
+    entries = F.transform(F.map_entries(payload), lambda e: F.struct(
+        F.when(F.lower(e["key"]).isin(*aliases), F.lower(e["key"])).otherwise(
+            plain_key(e["key"])).alias("alias"),
+        e["value"].alias("value")))
+    return F.filter(entries, lambda e: e["alias"].isin(*aliases) & usable(e["value"]))
+
+
+def _first(payload: Column, entries: Column, alias: str, usable) -> Column:
+    """Value under the exact key, else under the first key whose column part matches."""
+    exact = F.try_element_at(payload, F.lit(alias))
+    named = F.filter(entries, lambda e: e["alias"] == alias)
+    return F.coalesce(F.when(usable(exact), exact), F.get(named, 0)["value"])
 
 
 def payload_value(payload: Column, aliases, *, skip_blank_text: bool = False) -> Column:
@@ -21,27 +41,24 @@ def payload_value(payload: Column, aliases, *, skip_blank_text: bool = False) ->
 
     Empty text never counts; with ``skip_blank_text`` neither does white space.
     """
-
     def usable(value: Column) -> Column:
-        return (strip_blanks(value) if skip_blank_text else value) != ""
+        return value.rlike(r"\S") if skip_blank_text else value != ""
 
-    found = []
-    for alias in aliases:
-        exact = F.try_element_at(payload, F.lit(alias))
-        matching = F.map_values(
-            F.map_filter(
-                payload,
-                lambda k, v, a=alias: usable(v) & ((plain_key(k) == a) | (F.lower(k) == a)),
-            )
-        )
-        found += [F.when(usable(exact), exact), F.get(matching, 0)]
-    return F.coalesce(*found)
+    return bind(
+        _named(payload, aliases, usable),
+        lambda found: F.coalesce(*[_first(payload, found, alias, usable) for alias in aliases]))
 
 
 def payload_amount(payload: Column) -> Column:
     """First non-zero number under the amount keys, else 0."""
-    numbers = [float_of(payload_value(payload, [key])) for key in fixed.AMOUNT_KEYS]
-    return F.coalesce(*[F.nullif(n, F.lit(0.0)) for n in numbers], F.lit(0.0))
+    def usable(value: Column) -> Column:
+        return value != ""
+
+    def amount(found: Column) -> Column:
+        texts = F.array(*[_first(payload, found, key, usable) for key in fixed.AMOUNT_KEYS])
+        return F.get(F.filter(F.transform(texts, float_of), lambda n: n != 0), 0)
+
+    return F.coalesce(bind(_named(payload, fixed.AMOUNT_KEYS, usable), amount), F.lit(0.0))
 
 
 def stored_amount(payload: Column) -> Column:
@@ -53,16 +70,8 @@ def stored_amount(payload: Column) -> Column:
 def page_amount(payload: Column) -> Column:
     """Amount on a review page: exact keys first, then any key ending in one; zero counts."""
     exact = [float_of(F.try_element_at(payload, F.lit(key))) for key in fixed.AMOUNT_KEYS]
-    matching = F.filter(
-        F.transform(
-            F.map_values(
-                F.map_filter(payload, lambda k, v: plain_key(k).isin(*fixed.AMOUNT_KEYS))
-            ),
-            float_of,
-        ),
-        lambda n: n.isNotNull(),
-    )
-    return F.coalesce(*exact, F.get(matching, 0), F.lit(0.0))
+    named = _named(payload, fixed.AMOUNT_KEYS, lambda value: float_of(value).isNotNull())
+    return F.coalesce(*exact, float_of(F.get(named, 0)["value"]), F.lit(0.0))
 
 
 def entity_type(payload: Column) -> Column:

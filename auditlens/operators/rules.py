@@ -470,9 +470,9 @@ def split_rule_columns(
         else F.lit(False)
     reason = c(reasons_column) if reasons_column in df.columns else F.when(
         hit, F.lit(fixed.REASON_DEFAULT_RULE))
-    return df.drop(flag_column, reasons_column).withColumns(
-        {f"{prefix}_rule_flag": hit, f"{prefix}_rule_reasons": reason}
-    )
+    others = [c(n) for n in df.columns if n not in (flag_column, reasons_column)]
+    return df.select(
+        *others, hit.alias(f"{prefix}_rule_flag"), reason.alias(f"{prefix}_rule_reasons"))
 
 
 def parse_evidence(text: Column) -> Column:
@@ -483,14 +483,14 @@ def parse_evidence(text: Column) -> Column:
         "invoice_date:string,record_status:string,duplicate_count:bigint,similar_fk_daks:string>"
     )
     lines = F.filter(
-        F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), F.trim),
+        F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda line: F.trim(line)),
         lambda line: line.startswith("{") & line.endswith("}"),
     )
     parsed = F.transform(lines, lambda line: F.from_json(line, line_type))
 
     def record(item: Column) -> Column:
-        keys = F.filter(F.transform(F.split(item["similar_fk_daks"], ","), F.trim),
-                        lambda k: k != "")
+        listed = F.transform(F.split(item["similar_fk_daks"], ","), lambda k: F.trim(k))
+        keys = F.filter(listed, lambda k: k != "")
         fields = ["kind", "table", "invoice_column", "invoice_number", "invoice_date",
                   "record_status", "duplicate_count"]
         return F.struct(*[item[n].alias(n) for n in fields], keys.alias("similar_fk_daks"))

@@ -237,9 +237,9 @@ def risk(t: Tables):
     return t.results.select("id", points.alias("risk_score"), X.risk_label(points).alias("risk_label"))
 
 
-@query("score_rounding", "SELECT event_id, round_even(value / 8, 3) AS rounded FROM events")
+@query("score_rounding", "SELECT event_id, round(value / 7, 3) AS rounded FROM events")
 def score_rounding(t: Tables):
-    return t.events.select("event_id", S.round_half_even(c("value") / 8).alias("rounded"))
+    return t.events.select("event_id", S.round_half_even(c("value") / 7).alias("rounded"))
 
 
 @query("texts", over(

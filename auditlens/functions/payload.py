@@ -49,6 +49,18 @@ def payload_value(payload: Column, aliases, *, skip_blank_text: bool = False) ->
         lambda found: F.coalesce(*[_first(payload, found, alias, usable) for alias in aliases]))
 
 
+def payload_ids(payload: Column, keys) -> Column:
+    """Positive whole ids under several keys, as a struct with one field per key."""
+    def usable(value: Column) -> Column:
+        return value != ""
+
+    def ids(found: Column) -> Column:
+        numbers = {k: float_of(_first(payload, found, k, usable)).cast("long") for k in keys}
+        return F.struct(*[F.when(n > 0, n).alias(k) for k, n in numbers.items()])
+
+    return bind(_named(payload, keys, usable), ids)
+
+
 def payload_amount(payload: Column) -> Column:
     """First non-zero number under the amount keys, else 0."""
     def usable(value: Column) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlens import fixed
-from auditlens.functions.payload import has_business_data, payload_amount, payload_value
-from auditlens.functions.scalars import c, float_of
+from auditlens.functions.payload import has_business_data, payload_amount, payload_ids
+from auditlens.functions.scalars import c
 from auditlens.sources.catalog import Catalog
 
 # --- Fixed values: lookup tables, their name column and the payload keys that refer to them
@@ -21,12 +21,6 @@ LOOKUPS = {
 }
 
 
-def lookup_id(payload: Column, key: str) -> Column:
-    """Positive id under a payload key, else NULL."""
-    number = float_of(payload_value(payload, [key])).cast("long")
-    return F.when(number > 0, number)
-
-
 def lookup_names(df: DataFrame, id_column: str, name_column: str, name: str) -> DataFrame:
     """Id and trimmed name; blank names do not count."""
     text = F.trim(c(name_column).cast("string"))
@@ -37,10 +31,9 @@ def lookup_names(df: DataFrame, id_column: str, name_column: str, name: str) ->
 
 def lookup_ids(df: DataFrame, keys: Sequence[str], payload: str = "payload") -> DataFrame:
     """Distinct lookup ids over all rows, per key."""
-    pairs = F.array(*[
-        F.struct(F.lit(k).alias("lookup"), lookup_id(c(payload), k).alias("id")) for k in keys
-    ])
-    found = df.select(F.explode(pairs).alias("p")).select("p.*")
+    rows = df.select(payload_ids(c(payload), keys).alias("ids"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("lookup"), F.col("ids")[k].alias("id")) for k in keys])
+    found = rows.select(F.explode(pairs).alias("p")).select("p.*")
     return found.where(F.col("id").isNotNull()).distinct()
 
 
@@ -57,26 +50,31 @@ def enrich_names(
     """
     own = df.columns
     found: dict[str, Column] = {}
+    df = df.withColumn("__ids", payload_ids(c(payload), [key for _, key in LOOKUPS.values()]))
     for table, (name_column, key) in LOOKUPS.items():
         if table not in dims:
             found[table] = F.lit(None).cast("string")
             continue
         name = f"__name_{table}"
         names = lookup_names(dims[table], "id", name_column, name)
-        df = df.withColumn("__lookup", lookup_id(c(payload), key))
-        df = df.join(names, F.col("__lookup") == F.col(f"__id_{name}"), "left").drop(
-            "__lookup", f"__id_{name}")
+        df = df.join(names, F.col("__ids")[key] == F.col(f"__id_{name}"), "left").drop(
+            f"__id_{name}")
         found[table] = F.col(name)
-    resolved = F.map_filter(
-        F.map_from_arrays(
-            F.array(*[F.lit(f"resolved_{w}_name") for w in ("office", "vendor", "section")]),
-            F.array(found["dad_office"],
-                    F.coalesce(found["vendor"], found["aaa_central_vendor"]), found["section"]),
-        ),
-        lambda k, v: v.isNotNull(),
-    )
-    kept = F.map_filter(c(payload), lambda k, v: ~F.map_contains_key(resolved, k))
-    return df.withColumn(payload, F.map_concat(kept, resolved)).select(*[c(n) for n in own])
+    names = {
+        "resolved_office_name": found["dad_office"],
+        "resolved_vendor_name": F.coalesce(found["vendor"], found["aaa_central_vendor"]),
+        "resolved_section_name": found["section"],
+    }
+    resolved = F.filter(
+        F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in names.items()]),
+        lambda e: e["value"].isNotNull())
+    # Names resolved before stay unless there is a new one.
+    kept = F.filter(
+        F.map_entries(c(payload)),
+        lambda e: ~F.coalesce(*[F.when(e["key"] == k, v.isNotNull()) for k, v in names.items()],
+                              F.lit(False)))
+    return df.withColumn(payload, F.map_from_entries(F.concat(kept, resolved))).select(
+        *[c(n) for n in own])
 
 
 def attach_payload(

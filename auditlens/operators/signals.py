@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auditlens import fixed
+from auditlens.functions.payload import bind
 from auditlens.functions.scalars import float_of
 from auditlens.functions.texts import readable, value_text
 
@@ -48,32 +49,31 @@ def signal_priority(feature: Column) -> Column:
 def signal_group(feature: Column) -> Column:
     """Features of one source column form a group; a missing indicator is its own."""
     return F.when(feature.endswith("__missing"), feature).otherwise(
-        F.element_at(F.split(feature, "::"), 1)
+        F.substring_index(feature, "::", 1)
     )
 
 
-def _best_per_group(ranked: Column, group, k: int) -> Column:
-    """First entry of each group of a ranked array, at most ``k``."""
-    groups = F.transform(ranked, group)
-    firsts = F.filter(ranked, lambda s, i: F.array_position(groups, group(s)) == i + 1)
-    return F.slice(firsts, 1, k)
+def best_per_group(items: Column, keys, group, k: int) -> Column:
+    """Items in ascending order of the keys, original order among equals, the first of each
+    group only and at most ``k``. Keys and groups are computed once per item."""
+    decorated = F.transform(items, lambda s, i: F.struct(
+        *[key(s).alias(f"k{n}") for n, key in enumerate(keys)], i.alias("i"),
+        group(s).alias("group"), s.alias("item")))
 
+    def firsts(ranked: Column) -> Column:
+        kept = F.filter(
+            ranked, lambda r, i: F.array_position(ranked["group"], r["group"]) == i + 1)
+        return F.slice(kept, 1, k)["item"]
 
-def _sorted_by(items: Column, *keys) -> Column:
-    """Array ordered by ascending keys, original order among equals."""
-    decorated = F.transform(items, lambda s, i: F.struct(
-        *[key(s).alias(f"k{n}") for n, key in enumerate(keys)], i.alias("i"), s.alias("item")
-    ))
-    return F.transform(F.array_sort(decorated), lambda d: d["item"])
+    return bind(F.array_sort(decorated), firsts)
 
 
 def rank_signals(signals: Column, k: int = fixed.MAX_SIGNALS) -> Column:
     """The ``k`` strongest signals: by priority, then strength, one per feature group."""
-    ranked = _sorted_by(
-        signals, lambda s: signal_priority(s["feature"]),
-        lambda s: -F.coalesce(s["strength"], F.lit(0.0)),
-    )
-    return _best_per_group(ranked, lambda s: signal_group(s["feature"]), k)
+    return best_per_group(
+        signals,
+        [lambda s: signal_priority(s["feature"]), lambda s: -F.coalesce(s["strength"], F.lit(0.0))],
+        lambda s: signal_group(s["feature"]), k)
 
 
 # --- card view: at most three signals, scored by how telling they are -------------------------
@@ -83,8 +83,8 @@ def card_group(feature: Column) -> Column:
     name = F.trim(feature)
     return F.lower(
         F.when(name.endswith("__missing"), F.regexp_replace(name, "__missing$", ""))
-        .when(name.startswith("iqr_flag::"), F.element_at(F.split(name, "::"), 2))
-        .otherwise(F.element_at(F.split(name, "::"), 1))
+        .when(name.startswith("iqr_flag::"), F.substring_index(name, "::", -1))
+        .otherwise(F.substring_index(name, "::", 1))
     )
 
 
@@ -102,7 +102,7 @@ def card_kind(feature: Column) -> Column:
 def card_score(signal: Column) -> Column:
     kind = card_kind(signal["feature"])
     strength = F.coalesce(signal["strength"], F.abs(signal["scaled_value"]), F.lit(0.0))
-    category = F.lower(F.trim(F.get(F.split(F.trim(signal["feature"]), "::"), 1)))
+    category = F.lower(F.trim(F.substring_index(signal["feature"], "::", -1)))
     number = float_of(signal["value"])
     true_value = F.coalesce(
         F.when(number.isNotNull(), number >= 0.5).otherwise(
@@ -125,8 +125,8 @@ def card_score(signal: Column) -> Column:
 
 def collapse_signals(signals: Column, k: int = 3) -> Column:
     """Best signal of each group by card score, the ``k`` best groups in order."""
-    ranked = _sorted_by(signals, lambda s: -card_score(s))
-    return _best_per_group(ranked, lambda s: card_group(s["feature"]), k)
+    return best_per_group(
+        signals, [lambda s: -card_score(s)], lambda s: card_group(s["feature"]), k)
 
 
 # --- payload fields ---------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlens import fixed
+from auditlens.functions.payload import bind
 from auditlens.functions.scalars import c, float_of, text_of
 from auditlens.functions.texts import (
     collapse_blanks, epoch_date, percent_text, rarity, readable, readable_category, strip_blanks,
@@ -279,40 +280,58 @@ def clean_sentence(text: Column) -> Column:
     ):
         out = F.regexp_replace(out, pattern, "")
     out = F.regexp_replace(collapse_blanks(out), r"^[ ;,.]+|[ ;,.]+$", "")
-    out = strip_blanks(F.get(F.split(out, r"(?<=[.!?])\s+"), 0))
-    words = F.split(out, r"\s+")
-    short = F.array_join(F.slice(words, 1, fixed.MAX_REASON_WORDS), " ")
-    return F.when(F.size(words) > fixed.MAX_REASON_WORDS,
-                  F.concat(F.regexp_replace(short, r"[,;:]+$", ""), F.lit("."))).otherwise(out)
+    first = strip_blanks(F.get(F.split(out, r"(?<=[.!?])\s+"), 0))
+
+    def shorten(words: Column) -> Column:
+        text = F.array_join(F.slice(words, 1, fixed.MAX_REASON_WORDS), " ")
+        return F.when(F.size(words) > fixed.MAX_REASON_WORDS,
+                      F.concat(F.regexp_replace(text, r"[,;:]+$", ""), F.lit("."))).otherwise(text)
+
+    # Blanks are collapsed already, so joining the words again gives the same text.
+    return bind(F.split(first, " "), shorten)
 
 
 def reason_sentence(
     signals: Column, rule_reasons: Column | None = None, payload: Column | None = None
 ) -> Column:
     """Explanation of a row: up to three clauses, up to two rule reasons that the clauses do
-    not already say, else facts of the row, else a fixed sentence."""
-    said = F.filter(
-        F.transform(F.slice(F.coalesce(signals, F.array().cast(f"array<{SIGNAL_TYPE}>")), 1,
-                            fixed.MAX_SIGNALS), clause),
-        lambda s: s.isNotNull() & (s != ""),
-    )
-    first, second, third = F.get(said, 0), F.get(said, 1), F.get(said, 2)
-    parts = F.array_compact(F.array(
-        F.concat(F.upper(F.substring(first, 1, 1)), F.substring(first, 2, 100_000)),
-        F.concat(F.lit("and "), second),
-        F.when(_first_content_word(first) != _first_content_word(third),
-               F.concat(F.lit("and "), third)),
-    ))
+    not already say, else facts of the row, else a fixed sentence.
+
+    Each step is bound, so that no step is computed more than once per row.
+    """
+    known = F.coalesce(signals, F.array().cast(f"array<{SIGNAL_TYPE}>"))
+    said = F.filter(F.transform(F.slice(known, 1, fixed.MAX_SIGNALS), clause),
+                    lambda s: s.isNotNull() & (s != ""))
+
+    def parts_of(said: Column) -> Column:
+        first, second, third = F.get(said, 0), F.get(said, 1), F.get(said, 2)
+        return F.array_compact(F.array(
+            F.concat(F.upper(F.substring(first, 1, 1)), F.substring(first, 2, 100_000)),
+            F.concat(F.lit("and "), second),
+            F.when(_first_content_word(first) != _first_content_word(third),
+                   F.concat(F.lit("and "), third)),
+        ))
+
+    def sentence_of(parts: Column) -> Column:
+        sentence = F.array_join(parts, ", ")
+        if payload is None:
+            return sentence
+        facts = F.array_join(F.slice(row_facts(payload), 1, 2), "; ")
+        from_facts = bind(facts, lambda f: F.when(
+            f != "", F.concat(F.lit("Unusual combination of values: "), f)).otherwise(""))
+        return F.when(F.size(parts) > 0, sentence).otherwise(from_facts)
+
+    def final(cleaned: Column) -> Column:
+        return (
+            F.when(cleaned == "", F.lit(fixed.NO_STRONG_SIGNAL))
+            .when(cleaned.endswith("."), cleaned)
+            .otherwise(F.concat(cleaned, F.lit(".")))
+        )
+
+    parts = bind(said, parts_of)
     if rule_reasons is not None:
         parts = _with_rule_reasons(parts, rule_reasons)
-    sentence = F.array_join(parts, ", ")
-    if payload is not None:
-        facts = F.array_join(F.slice(row_facts(payload), 1, 2), "; ")
-        from_facts = F.concat(F.lit("Unusual combination of values: "), facts)
-        sentence = F.when(sentence != "", sentence).when(facts != "", from_facts).otherwise("")
-    cleaned = clean_sentence(sentence)
-    final = F.when(cleaned != "", cleaned).otherwise(F.lit(fixed.NO_STRONG_SIGNAL))
-    return F.when(final.endswith("."), final).otherwise(F.concat(final, F.lit(".")))
+    return bind(clean_sentence(bind(parts, sentence_of)), final)
 
 
 def _with_rule_reasons(parts: Column, rule_reasons: Column) -> Column:

@@ -179,9 +179,9 @@ def row_facts(payload: Column, limit: int = fixed.MAX_ROW_FACTS) -> Column:
             hit = hit | lower.contains(word)
         return hit
 
-    chosen = F.filter(entries, lambda e: telling(e["key"]))
-    chosen = F.when(F.size(chosen) > 0, chosen).otherwise(F.slice(entries, 1, 12))
-    return F.transform(
-        F.slice(chosen, 1, limit),
-        lambda e: F.concat(readable(e["key"]), F.lit("="), value_text(e["value"])),
-    )
+    def facts(entries: Column) -> Column:
+        return bind(F.filter(entries, lambda e: telling(e["key"])), lambda chosen: F.transform(
+            F.slice(F.when(F.size(chosen) > 0, chosen).otherwise(F.slice(entries, 1, 12)), 1, limit),
+            lambda e: F.concat(readable(e["key"]), F.lit("="), value_text(e["value"]))))
+
+    return bind(entries, facts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,17 +38,30 @@ def _first(payload: Column, entries: Column, alias: str, usable) -> Column:
     return F.coalesce(F.when(usable(exact), exact), F.get(named, 0)["value"])
 
 
-def payload_value(payload: Column, aliases, *, skip_blank_text: bool = False) -> Column:
-    """First usable value by alias: the exact key, else a key whose column part matches.
+def payload_values(
+    payload: Column, wanted: Mapping[str, Sequence[str]], *, skip_blank_text: bool = False
+) -> Column:
+    """Several looked-up values as a struct, from one pass over the payload.
 
-    Empty text never counts; with ``skip_blank_text`` neither does white space.
+    Per field, the first usable value by alias: the exact key, else a key whose column part
+    matches. Empty text never counts; with ``skip_blank_text`` neither does white space.
     """
     def usable(value: Column) -> Column:
         return value.rlike(r"\S") if skip_blank_text else value != ""
 
-    return bind(
-        _named(payload, aliases, usable),
-        lambda found: F.coalesce(*[_first(payload, found, alias, usable) for alias in aliases]))
+    every = list(dict.fromkeys(alias for aliases in wanted.values() for alias in aliases))
+
+    def fields(found: Column) -> Column:
+        return F.struct(*[
+            F.coalesce(*[_first(payload, found, a, usable) for a in aliases]).alias(name)
+            for name, aliases in wanted.items()])
+
+    return bind(_named(payload, every, usable), fields)
+
+
+def payload_value(payload: Column, aliases, *, skip_blank_text: bool = False) -> Column:
+    """One looked-up value, see :func:`payload_values`."""
+    return payload_values(payload, {"value": aliases}, skip_blank_text=skip_blank_text)["value"]
 
 
 def payload_ids(payload: Column, keys) -> Column:
@@ -87,12 +102,17 @@ def page_amount(payload: Column) -> Column:
 
 
 def entity_type(payload: Column) -> Column:
-    def has(aliases):
-        return payload_value(payload, aliases, skip_blank_text=True).isNotNull()
+    found = payload_values(
+        payload, {"vendor": fixed.VENDOR_TYPE_KEYS, "office": fixed.OFFICE_TYPE_KEYS},
+        skip_blank_text=True)
+    return bind(found, entity_of)
+
 
+def entity_of(found: Column) -> Column:
+    """Entity kind of looked-up ``vendor`` and ``office`` values."""
     return (
-        F.when(has(fixed.VENDOR_TYPE_KEYS), "vendor")
-        .when(has(fixed.OFFICE_TYPE_KEYS), "office")
+        F.when(found["vendor"].isNotNull(), "vendor")
+        .when(found["office"].isNotNull(), "office")
         .otherwise("bill")
     )
 

@@ -16,17 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditlens.functions.payload import bind
 from auditlens.functions.scalars import c
 
-BUFFER_ROWS = 1_000_000  # values one aggregation buffer may hold
+BUFFER_ROWS = 2_000_000  # values one aggregation buffer may hold
 SORTED_ROWS = 10_000  # rows one task may merge for a page
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 2_000
 
 
 @dataclass(eq=False)
 class _Target:
     """One wanted rank of one value column; the value lies strictly between low and high."""
 
+    name: str
     value: Column
     rank: int
     low: float | int | None = None
@@ -48,42 +50,58 @@ def _run(df: DataFrame, aggregates: list[Column]):
     return df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggregates)]).first()
 
 
+def _by_interval(targets: list[_Target]) -> list[list[_Target]]:
+    """Targets of one column and interval share one list or sketch."""
+    groups: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        groups.setdefault((t.name, t.low, t.high), []).append(t)
+    return list(groups.values())
+
+
 def _select_ranks(df: DataFrame, targets: list[_Target], buffer_rows: int) -> None:
     """Set ``found`` of every target; ``inside`` must hold the column's non-null count."""
-    while True:
-        open_targets = [t for t in targets if t.found is None]
-        small = [t for t in open_targets if t.inside * len(open_targets) <= buffer_rows]
-        large = [t for t in open_targets if t not in small]
+    while groups := _by_interval([t for t in targets if t.found is None]):
+        small = [g for g in groups if g[0].inside * len(groups) <= buffer_rows]
+        large = [g for g in groups if g not in small]
         if small:
-            row = _run(df, [
-                F.element_at(
-                    F.sort_array(F.collect_list(F.when(t.within(), t.value))),
-                    t.rank - t.below + 1,
-                )
-                for t in small
-            ])
-            for t, value in zip(small, row):
-                t.found = value
+            for group, values in zip(small, _run(df, [_pick(g) for g in small])):
+                for t, value in zip(group, values):
+                    t.found = value
         if not large:
             return
-        pivots = _run(df, [_bracket(t) for t in large])
+        pivots = [
+            (t, *values[2 * i:2 * i + 2])
+            for group, values in zip(large, _run(df, [_brackets(g) for g in large]))
+            for i, t in enumerate(group)
+        ]
         counts = _run(df, [
             count
-            for t, (left, right) in zip(large, pivots)
+            for t, left, right in pivots
             for count in (
                 F.count_if(t.within() & (t.value < left)), F.count_if(t.value == left),
                 F.count_if(t.within() & (t.value < right)), F.count_if(t.value == right),
             )
         ])
-        for i, (t, (left, right)) in enumerate(zip(large, pivots)):
+        for i, (t, left, right) in enumerate(pivots):
             _narrow(t, left, right, *counts[4 * i:4 * i + 4])
 
 
-def _bracket(t: _Target) -> Column:
-    at = (t.rank - t.below) / max(t.inside - 1, 1)
+def _pick(group: list[_Target]) -> Column:
+    """Values at the ranks of a group, from one sorted list of what lies in its interval."""
+    first = group[0]
+    ordered = F.sort_array(F.collect_list(F.when(first.within(), first.value)))
+    places = [t.rank - t.below + 1 for t in group]
+    return bind(ordered, lambda values: F.array(*[F.element_at(values, n) for n in places]))
+
+
+def _brackets(group: list[_Target]) -> Column:
+    """Two values around the place of each target, from one sketch."""
+    first, around = group[0], []
     slack = 2 / SKETCH_ACCURACY
-    around = [max(0.0, at - slack), min(1.0, at + slack)]
-    return F.percentile_approx(F.when(t.within(), t.value), around, SKETCH_ACCURACY)
+    for t in group:
+        at = (t.rank - t.below) / max(t.inside - 1, 1)
+        around += [max(0.0, at - slack), min(1.0, at + slack)]
+    return F.percentile_approx(F.when(first.within(), first.value), around, SKETCH_ACCURACY)
 
 
 def _narrow(t: _Target, left, right, lt_left: int, at_left: int, lt_right: int, at_right: int):
@@ -114,23 +132,18 @@ def exact_percentiles(
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolation percentiles of numeric columns, NULL and NaN left out.
 
-    Runs jobs. One pass suffices while a column fits the buffer.
+    Runs jobs: a count, and one more pass while the columns fit the buffer.
     """
     if not columns:
         return {}
     values = {n: F.nanvl(c(n).cast("double"), F.lit(None).cast("double")) for n in columns}
     totals = _run(df, [F.count(v) for v in values.values()])
-    if max(totals) * len(values) <= buffer_rows:
-        points = F.array(*[F.lit(p) for p in probabilities])
-        row = _run(df, [F.percentile(v, points) for v in values.values()])
-        return {n: list(row[i]) if row[i] else [None] * len(probabilities)
-                for i, n in enumerate(values)}
     wanted: dict[tuple[str, int], _Target] = {}
     for (name, value), total in zip(values.items(), totals):
         for p in probabilities:
             place = p * (total - 1)
             for rank in {math.floor(place), math.ceil(place)} if total else ():
-                wanted.setdefault((name, rank), _Target(value, rank, inside=total))
+                wanted.setdefault((name, rank), _Target(name, value, rank, inside=total))
     _select_ranks(df, list(wanted.values()), buffer_rows)
     out: dict[str, list[float | None]] = {}
     for name, total in zip(values, totals):
@@ -166,7 +179,7 @@ def value_at_rank(
     df: DataFrame, key: Column, rank: int, total: int, *, buffer_rows: int = BUFFER_ROWS
 ):
     """Value of a number column at a 0-based rank among its ``total`` non-null values."""
-    target = _Target(key, rank, inside=total)
+    target = _Target("key", key, rank, inside=total)
     _select_ranks(df, [target], buffer_rows)
     return target.found
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlens import fixed
-from auditlens.functions.payload import entity_type, page_amount, payload_value
+from auditlens.functions.payload import (
+    entity_of, page_amount, payload_value, payload_values,
+)
 from auditlens.functions.scalars import c, float_of
 from auditlens.functions.texts import (
     capitalize, flex_date, format_reason, review_status, risk_label, risk_score, simplify_reason,
@@ -15,31 +17,44 @@ from auditlens.functions.texts import (
 from auditlens.operators.summaries import money
 
 
-def _shown(payload: Column, keys) -> Column:
-    return F.coalesce(payload_value(payload, keys, skip_blank_text=True), F.lit("Unavailable"))
+# --- Fixed values: what a report row looks up in the payload ------------------------------
+REPORT_KEYS = {
+    "bill_no": fixed.BILL_KEYS,
+    "vendor_name": fixed.VENDOR_KEYS,
+    "office_name": fixed.OFFICE_KEYS,
+    "detected_on": fixed.DETECTED_KEYS,
+    "amount": fixed.REPORT_AMOUNT_KEYS,
+    "vendor": fixed.VENDOR_TYPE_KEYS,
+    "office": fixed.OFFICE_TYPE_KEYS,
+}
 
 
 def report_rows(predictions: DataFrame) -> DataFrame:
     """Twelve derived columns per prediction. Needs ``prediction_id``, ``rule_flag``,
     ``ml_score``, ``review_status``, ``feedback``, ``reason_list`` and ``payload``."""
-    payload = c("payload")
     simple = F.transform(F.slice(c("reason_list"), 1, 2), lambda r: simplify_reason(format_reason(r)))
     kind = F.array_join(simple, ", ")
-    amount = float_of(payload_value(payload, fixed.REPORT_AMOUNT_KEYS, skip_blank_text=True))
     points = risk_score(c("rule_flag"), c("ml_score"))
-    return predictions.select(
+    found = F.col("__found")
+
+    def shown(name: str) -> Column:
+        return F.coalesce(found[name], F.lit("Unavailable"))
+
+    looked_up = predictions.withColumn(
+        "__found", payload_values(c("payload"), REPORT_KEYS, skip_blank_text=True))
+    return looked_up.select(
         "prediction_id",
-        _shown(payload, fixed.BILL_KEYS).alias("bill_no"),
-        _shown(payload, fixed.VENDOR_KEYS).alias("vendor_name"),
-        _shown(payload, fixed.OFFICE_KEYS).alias("office"),
+        shown("bill_no").alias("bill_no"),
+        shown("vendor_name").alias("vendor_name"),
+        shown("office_name").alias("office"),
         F.when(kind != "", kind).otherwise("No reason").alias("anomaly_type"),
-        F.coalesce(amount, F.lit(0.0)).alias("amount"),
+        F.coalesce(float_of(found["amount"]), F.lit(0.0)).alias("amount"),
         points.alias("risk_score"),
         risk_label(points).alias("risk_label"),
-        _shown(payload, fixed.DETECTED_KEYS).alias("detected_on"),
+        shown("detected_on").alias("detected_on"),
         review_status(c("review_status"), c("feedback")).alias("status"),
         F.coalesce(capitalize(c("feedback")), F.lit("Pending")).alias("feedback"),
-        entity_type(payload).alias("entity_type"),
+        entity_of(found).alias("entity_type"),
     )
 
 

@@ -26,7 +26,7 @@ from auditlens.operators.ordering import first_rows
 from auditlens.operators.projection import with_model_names
 from auditlens.operators.rules import exclude_rule_rows, training_rules
 from auditlens.sources.catalog import Catalog
-from auditlens.sources.staging import file_row_id, stage
+from auditlens.sources.staging import file_row_id, spread, stage
 
 
 @dataclass(frozen=True)
@@ -120,8 +120,8 @@ def train_frame(
     total = counts["training"] = features.count()
 
     preprocessor = fit_preprocessor(features, chosen)
-    vectors = features.select(file_row_id().alias("row_id"),
-                              preprocessor.vector().alias("features"))
+    vectors = spread(features, features.select(
+        file_row_id().alias("row_id"), preprocessor.vector().alias("features")))
     grown = fit_forest(vectors, total, options.forest)
     trees = collect_forest(grown)
     tree_rows = min(options.forest.tree_rows, total)

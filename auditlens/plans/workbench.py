@@ -28,7 +28,7 @@ from auditlens.operators.user_rules import apply_user_rules
 from auditlens.plans.request import RunRequest
 from auditlens.sources.catalog import Catalog
 from auditlens.sources.results import ResultStore
-from auditlens.sources.staging import stage
+from auditlens.sources.staging import spread, stage
 
 RULE_COLUMNS = (
     "user_rule_flag", "user_rule_reasons", "sql_rule_flag", "sql_rule_reasons",
@@ -153,7 +153,7 @@ def run_workbench(
         store.write_run(record)
         return {**record, "amount_total": 0.0}
 
-    dense = drop_sparse(rows, keep=RULE_COLUMNS)
+    dense = spread(rows, drop_sparse(rows, keep=RULE_COLUMNS))
     scored = score_candidates(dense, model, keep_rule_rows=keep_rule_rows)
     found = stage(
         scored.where(c("kept") & (c("rule_flag") | c("ml_flag"))), "found")
@@ -174,7 +174,7 @@ def run_workbench(
         dense.select(*[c(n) for n in business]).schema, list(request.tables),
         flagged.feature_names)
     written = store.write_anomalies(
-        build_anomalies(found, request, model, run_id, payload, signals))
+        build_anomalies(spread(found), request, model, run_id, payload, signals))
     amount = amount_total(found, request.amount_field).first()[0]
     record = {
         **base, "total_rows": total, "user_rule_count": by_model["user_rule_count"],

@@ -17,7 +17,7 @@ from auditlens.plans.review import review_rows
 from auditlens.plans.training import TrainingOptions, train_dataset, training_summary
 from auditlens.plans.workbench import flag_rows, run_workbench, score_candidates
 from auditlens.sources.results import ResultStore
-from auditlens.sources.staging import file_row_id, stage, staging_root
+from auditlens.sources.staging import file_row_id, spread, stage, staging_root
 from driver_queries.base import Tables, over, query
 
 SMALL = ForestParams(trees=60, tree_rows=256)
@@ -30,8 +30,9 @@ def vectors(t: Tables):
         *[(c(n) * off).cast("double").alias(n) for n in ("l_quantity", "l_extendedprice", "l_discount")],
         (off > 1).alias("planted"))
     staged = stage(rows, "vectors")
-    return staged.select(file_row_id().alias("row_id"), "planted",
-                         F.array("l_quantity", "l_extendedprice", "l_discount").alias("features"))
+    vector = F.array("l_quantity", "l_extendedprice", "l_discount")
+    return spread(staged, staged.select(
+        file_row_id().alias("row_id"), "planted", vector.alias("features")))
 
 
 def scored(t: Tables):

@@ -158,7 +158,7 @@ def percent_text(ratio: Column) -> Column:
     return (
         F.when(pct >= 10, F.format_string("%.1f%%", pct))
         .when(pct >= 1, F.format_string("%.2f%%", pct))
-        .otherwise(F.format_string("%.3f%%", pct))
+        .when(pct < 1, F.format_string("%.3f%%", pct))
     )
 
 
@@ -167,7 +167,7 @@ def number_text(value: Column) -> Column:
     return (
         F.when(size >= 1000, F.format_string("%,.0f", value))
         .when((size < 1) & (value != 0), F.format_string("%.4f", value))
-        .otherwise(F.format_string("%.2f", value))
+        .when(value.isNotNull(), F.format_string("%.2f", value))
     )
 
 

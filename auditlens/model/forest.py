@@ -124,7 +124,7 @@ def fit_forest(
     depth_limit = math.ceil(math.log2(max(wanted, 2)))
     seed = params.seed
 
-    def grow(key, group: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple[int, ...], group: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         ordered = group.sort_values(row_id)
         values = np.stack(ordered[vector].to_numpy())

@@ -73,7 +73,7 @@ def forest_properties(t: Tables):
                    > F.avg(F.when(~c("planted"), c("score"))), F.lit(True)).alias("planted_stand_out"))
 
 
-OPTIONS = TrainingOptions(forest=SMALL)
+OPTIONS = TrainingOptions(forest=SMALL, max_rows=0)
 
 
 MODELS: dict = {}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlens import fixed
-from auditlens.functions.scalars import c, float_of, safe_num
+from auditlens.functions.scalars import bind, c, float_of, safe_num
 
 
 def plain_key(key: Column) -> Column:
@@ -17,11 +17,6 @@ def plain_key(key: Column) -> Column:
     return F.lower(F.substring_index(key, ".", -1))
 
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once per row, however often it is used."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _named(payload: Column, aliases, usable) -> Column:
     """Usable payload values whose key or column part is one of the aliases, with that alias."""
     entries = F.transform(F.map_entries(payload), lambda e: F.struct(

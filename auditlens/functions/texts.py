@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auditlens import fixed
-from auditlens.functions.scalars import float_of
+from auditlens.functions.scalars import bind, float_of
 
 
 def collapse_blanks(col: Column) -> Column:
@@ -223,26 +223,27 @@ def split_reason(col: Column) -> Column:
     return F.filter(F.transform(parts, strip_blanks), lambda part: part != "")
 
 
+def _with_forms(reasons: Column) -> Column:
+    """First reason of each comparison form, in order, as records of form and text."""
+    marked = F.transform(
+        reasons, lambda r: F.struct(normal_reason(r).alias("form"), r.alias("text")))
+    return bind(marked, lambda all_of: F.filter(
+        all_of,
+        lambda m, i: (m["form"] != "") & (F.array_position(all_of["form"], m["form"]) == i + 1)))
+
+
 def dedupe_reasons(reasons: Column) -> Column:
     """First reason of each comparison form, in order."""
-    forms = F.transform(reasons, normal_reason)
-    return F.filter(
-        reasons,
-        lambda reason, i: (normal_reason(reason) != "")
-        & (F.array_position(forms, normal_reason(reason)) == i + 1),
-    )
+    return _with_forms(reasons)["text"]
 
 
-def content_tokens(col: Column) -> Column:
-    return F.filter(
-        F.split(normal_reason(col), " "),
-        lambda t: (F.length(t) > 1) & ~t.isin(*fixed.STOP_WORDS),
-    )
+def content_tokens(form: Column) -> Column:
+    """Telling words of a reason in comparison form."""
+    return F.filter(F.split(form, " "), lambda t: (F.length(t) > 1) & ~t.isin(*fixed.STOP_WORDS))
 
 
-def says_the_same(a: Column, b: Column) -> Column:
-    """True when the content words of two reasons overlap enough."""
-    left, right = content_tokens(a), content_tokens(b)
+def tokens_overlap(left: Column, right: Column) -> Column:
+    """True when two long enough lists of words share enough of them."""
     shared = F.size(F.filter(left, lambda t: F.array_contains(right, t)))
     shorter = F.least(F.size(left), F.size(right))
     return F.when(
@@ -253,16 +254,24 @@ def says_the_same(a: Column, b: Column) -> Column:
 def merge_reasons(reasons: Column, extra: Column) -> Column:
     """Split and de-duplicated reasons, then the extra ones; a reason that an extra one
     restates in other words is left out, an identical one is shown once."""
-    base = dedupe_reasons(F.flatten(F.transform(reasons, split_reason)))
-    extra_forms = F.transform(extra, normal_reason)
-    kept = F.filter(
-        base,
-        lambda r: F.array_contains(extra_forms, normal_reason(r))
-        | ~F.exists(extra, lambda e: says_the_same(r, e)),
-    )
-    kept = F.transform(kept, format_reason)
-    kept_forms = F.transform(kept, normal_reason)
-    new = F.filter(
-        dedupe_reasons(extra), lambda e: ~F.array_contains(kept_forms, normal_reason(e))
-    )
-    return F.concat(kept, new)
+    base = F.transform(
+        _with_forms(F.flatten(F.transform(reasons, split_reason))),
+        lambda b: F.struct(b["form"].alias("form"), b["text"].alias("text"),
+                           content_tokens(b["form"]).alias("tokens")))
+    more = F.transform(
+        _with_forms(extra),
+        lambda m: F.struct(m["form"].alias("form"), m["text"].alias("text"),
+                           content_tokens(m["form"]).alias("tokens")))
+
+    def joined(kept: Column, more: Column) -> Column:
+        new = F.filter(more, lambda m: ~F.array_contains(kept["form"], m["form"]))
+        return F.concat(F.transform(kept["text"], format_reason), new["text"])
+
+    def merged(more: Column) -> Column:
+        kept = F.filter(
+            base,
+            lambda b: F.array_contains(more["form"], b["form"])
+            | ~F.exists(more, lambda m: tokens_overlap(b["tokens"], m["tokens"])))
+        return bind(kept, lambda rows: joined(rows, more))
+
+    return bind(more, merged)

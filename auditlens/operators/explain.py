@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlens import fixed
-from auditlens.functions.payload import bind
-from auditlens.functions.scalars import c, float_of, text_of
+from auditlens.functions.scalars import bind, c, float_of, text_of
 from auditlens.functions.texts import (
     collapse_blanks, epoch_date, percent_text, rarity, readable, readable_category, strip_blanks,
     value_text,

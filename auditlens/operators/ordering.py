@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlens.functions.payload import bind
-from auditlens.functions.scalars import c
+from auditlens.functions.scalars import bind, c
 
 BUFFER_ROWS = 2_000_000  # values one aggregation buffer may hold
 SORTED_ROWS = 10_000  # rows one task may merge for a page

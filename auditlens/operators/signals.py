@@ -9,8 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auditlens import fixed
-from auditlens.functions.payload import bind
-from auditlens.functions.scalars import float_of
+from auditlens.functions.scalars import bind, float_of
 from auditlens.functions.texts import readable, value_text
 
 COMPARISON_TYPE = (

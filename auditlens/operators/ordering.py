@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlens.functions.scalars import bind, c
+from auditlens.sources.staging import stage
 
 BUFFER_ROWS = 2_000_000  # values one aggregation buffer may hold
 SORTED_ROWS = 10_000  # rows one task may merge for a page
@@ -194,16 +195,18 @@ def first_rows(
     """First ``n`` rows in ascending order, NULLs last.
 
     Small ``n`` sorts. Large ``n`` turns the cut into a filter on the order columns, so that
-    the result stays distributed; only rows that tie on all of them are cut by a limit.
+    the result stays distributed; only rows that tie on all of them are cut by a limit. The
+    order columns are staged once, so the passes over them do not repeat what ``df`` computes.
     """
     keys = [rank_key(df, name) for name in order]
     if n <= sorted_rows or not keys or any(key is None for key in keys):
         return df.orderBy(*[c(name).asc_nulls_last() for name in order]).limit(n)
-    kept, tied, left = F.lit(False), F.lit(True), n
-    if df.count() <= n:
+    narrow = stage(df.select(*[c(name) for name in order]), "order")
+    if narrow.count() <= n:
         return df
+    kept, tied, left = F.lit(False), F.lit(True), n
     for key in keys:
-        scope = df.where(tied)
+        scope = narrow.where(tied)
         present, absent = _run(scope, [F.count(key), F.count_if(key.isNull())])
         if left > present:
             kept, tied, left = kept | (tied & key.isNotNull()), tied & key.isNull(), left - present

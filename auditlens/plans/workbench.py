@@ -56,6 +56,15 @@ def flag_rows(catalog: Catalog, request: RunRequest) -> Flagged:
     return Flagged(featured, names, feature_warnings + user_warnings)
 
 
+def contract_rows(flagged: DataFrame, model: Model) -> DataFrame:
+    """Joined rows with ``rule_flag``, their model features, and whether training would have
+    dropped them (``__dropped``)."""
+    by_rule = c("user_rule_flag") | c("sql_rule_flag")
+    keep = [*flagged.columns, "rule_flag"]
+    frame = to_model_frame(flagged.withColumn("rule_flag", by_rule), model.contract, keep)
+    return mark_contract(frame, model.contract, keep)
+
+
 def score_candidates(
     flagged: DataFrame, model: Model, *, keep_rule_rows: bool = False
 ) -> DataFrame:
@@ -64,16 +73,11 @@ def score_candidates(
     Rows that training would have dropped are not scored. Rule hits among them leave the
     result too, unless ``keep_rule_rows`` is set.
     """
-    by_rule = c("user_rule_flag") | c("sql_rule_flag")
-    keep = [*flagged.columns, "rule_flag"]
-    wide = mark_contract(
-        to_model_frame(flagged.withColumn("rule_flag", by_rule), model.contract, keep),
-        model.contract, keep)
     usable = ~c("__dropped")
     score = model.score(flagged.sparkSession, guard=usable & ~c("rule_flag"))
-    scored = wide.withColumn("ml_score", score).withColumn("ml_flag", model.flag(c("ml_score")))
+    scored = contract_rows(flagged, model).withColumn("ml_score", score)
     kept = usable | c("rule_flag") if keep_rule_rows else usable
-    return scored.withColumn("kept", kept).drop("__dropped")
+    return scored.withColumns({"ml_flag": model.flag(c("ml_score")), "kept": kept}).drop("__dropped")
 
 
 def rule_name(user_rules, user_reason: Column, own_reasons: Column, hit: Column) -> Column:
@@ -153,8 +157,8 @@ def run_workbench(
         store.write_run(record)
         return {**record, "amount_total": 0.0}
 
-    dense = spread(rows, drop_sparse(rows, keep=RULE_COLUMNS))
-    scored = score_candidates(dense, model, keep_rule_rows=keep_rule_rows)
+    dense = drop_sparse(rows, keep=RULE_COLUMNS)
+    scored = score_candidates(spread(rows, dense), model, keep_rule_rows=keep_rule_rows)
     found = stage(
         scored.where(c("kept") & (c("rule_flag") | c("ml_flag"))), "found")
     by_model = run_counters(found).first()
@@ -163,8 +167,9 @@ def run_workbench(
     features = model.contract.feature_columns
     signals = F.array().cast(f"array<{SIGNAL_TYPE}>")
     if by_model["ml_anomaly_count"]:
-        # The model column is not used here, so the scoring function does not run again.
-        eligible = scored.where(c("kept") & ~c("rule_flag")).select(*[c(n) for n in features])
+        # Profiles need no scores: they read the staged rows, not the scored ones.
+        scored_rows = contract_rows(dense, model).where(~c("__dropped") & ~c("rule_flag"))
+        eligible = scored_rows.select(*[c(n) for n in features])
         profiles = fit_profiles(eligible, model.preprocessor)
         signals = F.when(
             c("ml_flag"), explanation_signals(found, model.preprocessor, profiles)

@@ -32,14 +32,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(staged: DataFrame, columns: DataFrame | None = None) -> DataFrame:
-    """Rows for heavy work per row: a staged frame of fewer files than cores is small, and is
-    dealt out to all cores; a larger one is left as it lies.
+    """Rows for heavy work per row: a staged frame of few files for the number of cores is
+    small, and is dealt out to all of them; a larger one is left as it lies.
 
     ``columns`` is a projection of the staged frame to deal out instead of it.
     """
     rows = staged if columns is None else columns
     cores = staged.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(staged.inputFiles()) < cores else rows
+    return rows.repartition(cores) if 4 * len(staged.inputFiles()) <= cores else rows
 
 
 def file_row_id() -> Column:

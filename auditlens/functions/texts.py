@@ -178,7 +178,7 @@ def value_text(text: Column) -> Column:
     cut = F.when(F.length(plain) <= 40, plain).otherwise(
         F.concat(F.substring(plain, 1, 37), F.lit("..."))
     )
-    return F.coalesce(number_text(number), cut, F.lit("unknown"))
+    return F.coalesce(bind(number, number_text), cut, F.lit("unknown"))
 
 
 def readable(name: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlens.llm import substrings
+from auditlens.llm import language, minhash, substrings
 from auditlens.llm.frames import table
 from auditlens.session import tune
 
@@ -46,3 +46,31 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) A
 FROM w LEFT JOIN kept USING (doc_id)""")
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeated(table(spark, folder, "documents")).drop("kept_text")
+
+
+@query("op9_minhash", """
+WITH RECURSIVE
+ w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(words[p:p + 1], ' ') AS s
+       FROM w, unnest(range(1, greatest(len(words), 2))) u(p) WHERE len(words) > 0),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+          FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+ e AS (SELECT a, b FROM met JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+       WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+ r AS (SELECT doc_id AS id, doc_id AS other FROM w
+       UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
+ c AS (SELECT id, min(other) AS component_id FROM r GROUP BY id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.id = w.doc_id""")
+def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), size=2, percent=80)
+
+
+@query("op10_language")
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    net = language.fit(docs.where(~held_out))
+    return language.predict(docs.withColumn("held_out", held_out), net, ["doc_id", "held_out"])

@@ -31,10 +31,11 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
-def only_ids(rows: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
-    """Rows whose id is among ``ids`` (staged, distinct); a counted, small set is broadcast."""
+def only_ids(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose doc_id is among ``ids`` (staged, distinct), or with ``left_anti`` those whose
+    is not; a counted, small set is broadcast."""
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if small else ids, name, "left_semi")
+    return rows.join(F.broadcast(ids) if small else ids, "doc_id", how)
 
 
 def components(edges: DataFrame) -> DataFrame:

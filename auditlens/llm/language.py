@@ -152,7 +152,7 @@ def fit(docs: DataFrame) -> Network | None:
     return train(languages, cells, labels)
 
 
-def _applied(net: Network | None, text: str, letters: str, names: list[str]):
+def _applied(net: Network | None, text: str, letters: str, names: list[str], added: tuple[str, str]):
     def run(batches):
         for batch in batches:
             texts = batch.column(text).cast(pa.binary()).to_pylist()
@@ -179,14 +179,15 @@ def _applied(net: Network | None, text: str, letters: str, names: list[str]):
             kept = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                [*names, "lang_pred", "score"])
+                [*names, *added])
 
     return run
 
 
-def predict(docs: DataFrame, net: Network | None, columns: list[str]) -> DataFrame:
-    """The given columns of each row, then lang_pred and score. Map-side only."""
+def predict(docs: DataFrame, net: Network | None, columns: list[str],
+            added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The given columns of each row, then the language and its score. Map-side only."""
     text = F.col("text").cast("string")
     shown = docs.select(*columns, text.alias("__text"), has_letter(text).alias("__letters"))
-    schema = shown.select(*columns).schema.add("lang_pred", "string").add("score", "double")
-    return shown.mapInArrow(_applied(net, "__text", "__letters", columns), schema)
+    schema = shown.select(*columns).schema.add(added[0], "string").add(added[1], "double")
+    return shown.mapInArrow(_applied(net, "__text", "__letters", columns, added), schema)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlens.llm import language, minhash, substrings
+from auditlens.llm import bpe, contamination, language, minhash, secrets, substrings
 from auditlens.llm.frames import table
 from auditlens.session import tune
 
@@ -74,3 +76,29 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     net = language.fit(docs.where(~held_out))
     return language.predict(docs.withColumn("held_out", held_out), net, ["doc_id", "held_out"])
+
+
+@query("op3_secrets")
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = F.col("found")
+    base = secrets.base_spans(found)
+    return secrets.scan(table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", *[secrets.count_of(k, found).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(found).alias("spans"))
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op5_bpe")
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

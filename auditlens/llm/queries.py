@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlens.llm import bpe, contamination, language, minhash, secrets, substrings
+from auditlens.llm import bpe, contamination, language, minhash, secrets, substrings, suffixes
 from auditlens.llm.frames import table
 from auditlens.session import tune
 
@@ -102,3 +102,27 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
+
+
+@query("op8_suffix_dedup", """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ s AS (SELECT doc_id, p, h[2 * p + 1:2 * p + 400] AS s
+       FROM b, unnest(range(0, greatest(len(h) // 2 - 199, 0))) u(p)),
+ t AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY s) AS n FROM s) WHERE n > 1),
+ r AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER w <= 200 THEN 0 ELSE 1 END AS new
+       FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+ g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM r),
+ x AS (SELECT doc_id, run, min(p) AS a, max(p) + 200 AS z FROM g GROUP BY ALL),
+ k AS (SELECT b.doc_id, h, list(x.a ORDER BY x.a) FILTER (x.a IS NOT NULL) AS a,
+              list(x.z ORDER BY x.a) FILTER (x.a IS NOT NULL) AS z
+       FROM b LEFT JOIN x USING (doc_id) GROUP BY ALL),
+ m AS (SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(len(a), 0) AS n_spans,
+              coalesce(list_sum(z) - list_sum(a), 0) AS n_removed,
+              CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(a) + 1),
+                lambda i: h[2 * CASE WHEN i = 0 THEN 0 ELSE z[i] END + 1
+                       :2 * CASE WHEN i = len(a) THEN len(h) // 2 ELSE a[i + 1] END]), '') END AS kept
+       FROM k)
+SELECT doc_id, n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans,
+       sha256(unhex(kept)) AS kept_sha256 FROM m""")
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeated(table(spark, folder, "documents")).drop("kept")

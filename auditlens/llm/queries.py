@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlens.llm import bpe, contamination, language, minhash, secrets, substrings, suffixes
+from auditlens.llm import bpe, contamination, language, minhash, secrets, substrings, suffixes, vectors
 from auditlens.llm.frames import table
 from auditlens.session import tune
 
@@ -126,3 +126,21 @@ SELECT doc_id, n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans,
        sha256(unhex(kept)) AS kept_sha256 FROM m""")
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeated(table(spark, folder, "documents")).drop("kept")
+
+
+@query("op2_vectors", """
+WITH RECURSIVE
+ v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ g AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
+       WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(e, lambda x: x <> 0)) > 0),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b
+         ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+ r AS (SELECT vec_id AS id, vec_id AS other FROM v UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.other),
+ c AS (SELECT id, min(other) AS component_id FROM r GROUP BY id),
+ n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON id = vec_id LEFT JOIN n ON a = vec_id""")
+def op2_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, folder, "embeddings"))

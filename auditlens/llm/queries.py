@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlens.llm import bpe, contamination, language, minhash, secrets, substrings, suffixes, vectors
+from auditlens.llm import bpe, contamination, language, minhash, secrets, substrings, suffixes, toxicity, vectors
 from auditlens.llm.frames import table
 from auditlens.session import tune
 
@@ -144,3 +144,12 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 FROM v JOIN c ON id = vec_id LEFT JOIN n ON a = vec_id""")
 def op2_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    index = toxicity.fit(docs.where(~held_out), labels, docs)
+    return toxicity.scores(docs, index).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlens.llm import bpe, contamination, language, minhash, secrets, substrings, suffixes, toxicity, vectors
+from auditlens.llm import bpe, contamination, language, licences, minhash, secrets, substrings, suffixes, toxicity, vectors
 from auditlens.llm.frames import table
 from auditlens.session import tune
 
@@ -153,3 +153,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     index = toxicity.fit(docs.where(~held_out), labels, docs)
     return toxicity.scores(docs, index).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op4_licences")
+def op4_licences(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return licences.scan(docs.select(
+        "doc_id", "text", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path")))

@@ -153,21 +153,47 @@ def rarity(ratio: Column) -> Column:
     return -F.log10(F.greatest(ratio, F.lit(1e-6)))
 
 
+def fixed_text(value: Column, digits: int) -> Column:
+    """A number with so many decimals; halves by the exact binary value, true ones to even.
+
+    The text of a double can end in a half that the double itself is not (2.675 is less). Such a
+    double is the nearest one to k / 10**(digits + 1) with k ending in 5. There, the sign of
+    value * 10**(digits + 1) - k decides; it is exact, as the value is split into two parts of
+    26 bits whose products are exact.
+    """
+    power = 10.0 ** (digits + 1)
+
+    def shown(size: Column) -> Column:
+        k = F.rint(size * power)
+        half = (k % 10 == 5) & (size == k / power)
+        spread = size * 134217729.0  # 2**27 + 1
+        high = spread - (spread - size)
+        beyond = (high * power - k) + (size - high) * power
+        low = (k - 5) / 10
+        up = (beyond > 0) | ((beyond == 0) & (low % 2 == 1))
+        return F.when(half, (low + F.when(up, 1.0).otherwise(0.0)) / 10.0 ** digits).otherwise(size)
+
+    size = bind(F.abs(value), shown)
+    return F.format_string(f"%.{digits}f", F.when(value < 0, -size).otherwise(size))
+
+
 def percent_text(ratio: Column) -> Column:
-    pct = ratio * 100
-    return (
-        F.when(pct >= 10, F.format_string("%.1f%%", pct))
-        .when(pct >= 1, F.format_string("%.2f%%", pct))
-        .when(pct < 1, F.format_string("%.3f%%", pct))
-    )
+    def shown(pct: Column) -> Column:
+        return (
+            F.when(pct >= 10, F.concat(fixed_text(pct, 1), F.lit("%")))
+            .when(pct >= 1, F.concat(fixed_text(pct, 2), F.lit("%")))
+            .when(pct < 1, F.concat(fixed_text(pct, 3), F.lit("%")))
+        )
+
+    return bind(ratio * 100, shown)
 
 
 def number_text(value: Column) -> Column:
     size = F.abs(value)
     return (
-        F.when(size >= 1000, F.format_string("%,.0f", value))
-        .when((size < 1) & (value != 0), F.format_string("%.4f", value))
-        .when(value.isNotNull(), F.format_string("%.2f", value))
+        F.when(size >= 1000, F.format_string("%,.0f", F.rint(value)))
+        .when((size < 1) & (value != 0), fixed_text(value, 4))
+        .when(value.isNotNull(), fixed_text(value, 2))
     )
 
 

@@ -67,7 +67,7 @@ def reason_sentences(t: Tables):
     "SELECT id, CASE WHEN user_rule_name IS NULL THEN 'Unusual combination of values: amount=' || CASE WHEN "
     "amount >= 1000 THEN format('{:,}', CAST(round_even(amount, 0) AS BIGINT)) ELSE printf('%.2f', amount) END "
     "|| '.' WHEN user_rule_name LIKE 'RULE%' THEN '(rule: large amount of payment).' ELSE "
-    "'(rule: duplicate invoice).' END AS sentence FROM results WHERE amount % 1 <> 0.5", "results"))
+    "'(rule: duplicate invoice).' END AS sentence FROM results", "results"))
 def reason_fallbacks(t: Tables):
     """Rows without signals: rule reasons speak, else facts of the payload."""
     payload = F.create_map(F.lit("dak.amount"), F.expr("CAST(CAST(amount AS DECIMAL(12,2)) AS STRING)"),
@@ -75,6 +75,6 @@ def reason_fallbacks(t: Tables):
     rules = F.when(c("user_rule_name").isNotNull(),
                    F.array(F.lit("the status field is missing"), c("user_rule_name")))
     signals = F.lit(None).cast(f"array<{SIGNAL_TYPE}>")
-    return t.results.where("amount % 1 <> 0.5").select(
+    return t.results.select(
         "id", reason_sentence(signals, rules, payload).alias("sentence"))
 

@@ -151,19 +151,21 @@ def _signals():
 
 
 def _long_sql() -> str:
-    return " UNION ALL ".join(
-        f"SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, {i} AS i, {f} AS feature, "
-        f"{s} AS strength, {d} AS direction FROM lineitem"
+    """One row per signal; line items that agree in all keys stay apart by their number."""
+    cells = ", ".join(
+        f"{{'i': {i}, 'feature': {f}, 'strength': {s}, 'direction': {d}}}"
         for i, (f, _, s, d) in enumerate(SIGNALS))
+    return (f"SELECT rid, l_orderkey, l_partkey, l_linenumber, l_suppkey, s.i, s.feature, s.strength, "
+            f"s.direction FROM (SELECT *, unnest([{cells}]) AS s FROM (SELECT row_number() OVER () AS rid, * "
+            "FROM lineitem))")
 
 
 def _chosen(order: str, group: str, k: int) -> str:
     return over(
         "SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, string_agg(feature, ' > ' ORDER BY n) AS "
-        "signals FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_linenumber, l_suppkey "
-        f"ORDER BY {order}, i) AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, "
-        f"l_linenumber, l_suppkey, {group} ORDER BY {order}, i) AS g FROM long) WHERE g = 1) WHERE n <= {k} "
-        "GROUP BY 1, 2, 3, 4", long=_long_sql())
+        "signals FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY "
+        f"{order}, i) AS n FROM (SELECT *, row_number() OVER (PARTITION BY rid, {group} ORDER BY {order}, i) "
+        f"AS g FROM long) WHERE g = 1) WHERE n <= {k} GROUP BY rid, 1, 2, 3, 4", long=_long_sql())
 
 
 PRIORITY = ("CASE WHEN feature LIKE '%missing' THEN 1 WHEN feature LIKE 'gap%' THEN 2 WHEN feature LIKE "
@@ -205,10 +207,7 @@ def key_fields(t: Tables):
 @query("row_facts", over(
     "SELECT id, concat('amount=', CASE WHEN amount >= 1000 THEN format('{:,}', CAST(round_even(amount, 0) "
     "AS BIGINT)) ELSE printf('%.2f', amount) END, '; bill number=', CASE WHEN id * 10 >= 1000 THEN "
-    "format('{:,}', id * 10) ELSE printf('%.2f', (id * 10)::DOUBLE) END) AS facts FROM results "
-    "WHERE amount % 1 <> 0.5", "results"))
+    "format('{:,}', id * 10) ELSE printf('%.2f', (id * 10)::DOUBLE) END) AS facts FROM results", "results"))
 def row_facts(t: Tables):
-    rows = predictions(t).join(t.results.where("amount % 1 <> 0.5").select(
-        c("id").alias("prediction_id")), "prediction_id", "left_semi")
     facts = F.array_join(F.slice(G.row_facts(c("payload")), 1, 2), "; ")
-    return rows.select(c("prediction_id").alias("id"), facts.alias("facts"))
+    return predictions(t).select(c("prediction_id").alias("id"), facts.alias("facts"))

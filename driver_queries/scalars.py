@@ -250,12 +250,11 @@ def score_rounding(t: Tables):
     "CASE WHEN l_discount = 0 THEN '0.00' ELSE printf('%.4f', l_discount) END AS discount_text, "
     "CASE WHEN l_discount >= 0.1 THEN '10.0%' WHEN l_discount >= 0.01 THEN "
     "printf('%.2f%%', l_discount * 100) ELSE '0.000%' END AS percent, "
-    "round(-log10(greatest(l_discount, 1e-6)), 6) AS rarity FROM lineitem "
-    "WHERE l_extendedprice % 1 <> 0.5"))
+    "round(-log10(greatest(l_discount, 1e-6)), 6) AS rarity FROM lineitem"))
 def texts(t: Tables):
     reason = F.concat(F.lit("RULE::Large__amount  of_"), c("l_partkey").cast("string"))
     payment = F.concat(F.lit("outlier::vast_payment_"), c("l_partkey").cast("string"))
-    return t.lineitem.where("l_extendedprice % 1 <> 0.5").select(
+    return t.lineitem.select(
         "l_orderkey", "l_partkey", "l_linenumber", X.presentable(reason).alias("shown"),
         X.simplify_reason(X.format_reason(payment)).alias("category"),
         X.value_text(c("l_extendedprice").cast("string")).alias("amount_text"),

@@ -132,3 +132,23 @@ def test_stateless_expressions_work_on_streams(spark, tmp_path):
              .queryName("nights").trigger(availableNow=True).start())
     query.awaitTermination(60)
     assert spark.table("nights").where(F.col("night")).count() == 1
+
+
+def test_decimals_are_those_of_the_binary_value(spark):
+    import random
+
+    rng = random.Random(6)
+    values = [1000.5, 2500.5, 2.675, 1.005, 0.125, 0.00005, 0.00015, 999.995, -2.675, -1000.5, 0.0, 10.25, 0.1025]
+    values += [round(rng.uniform(0, 900), 3) for _ in range(3000)] + [rng.randrange(10**6) / 10**5 for _ in range(3000)]
+    values += [rng.randrange(10**7) + 0.5 for _ in range(50)] + [k + j / 8 for k in range(5) for j in range(8)]
+
+    def plain(v):
+        return f"{v:,.0f}" if abs(v) >= 1000 else f"{v:.4f}" if v and abs(v) < 1 else f"{v:.2f}"
+
+    def percent(v):
+        p = v * 100
+        return f"{p:.1f}%" if p >= 10 else f"{p:.2f}%" if p >= 1 else f"{p:.3f}%"
+
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(
+        "v", X.number_text(F.col("v")).alias("n"), X.percent_text(F.col("v")).alias("p")).collect()
+    assert [(r["v"], r["n"], r["p"]) for r in rows] == [(v, plain(v), percent(v)) for v in values]

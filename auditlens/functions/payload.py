@@ -29,8 +29,8 @@ def _named(payload: Column, aliases, usable) -> Column:
 def _first(payload: Column, entries: Column, alias: str, usable) -> Column:
     """Value under the exact key, else under the first key whose column part matches."""
     exact = F.try_element_at(payload, F.lit(alias))
-    named = F.filter(entries, lambda e: e["alias"] == alias)
-    return F.coalesce(F.when(usable(exact), exact), F.get(named, 0)["value"])
+    at = F.array_position(entries["alias"], F.lit(alias)).cast("int")
+    return F.coalesce(F.when(usable(exact), exact), F.get(entries["value"], at - 1))
 
 
 def payload_values(

@@ -119,7 +119,7 @@ def fit_forest(
     *, row_id: str = "row_id", vector: str = "features",
 ) -> DataFrame:
     """Grow the forest; one result row per tree. ``row_id`` must be stable and unique, as
-    :func:`auditlens.sources.staging.file_row_id` is."""
+    :func:`auditlens.plans.training.with_content_ids` gives them."""
     wanted = min(params.tree_rows, total)
     depth_limit = math.ceil(math.log2(max(wanted, 2)))
     seed = params.seed

@@ -75,16 +75,10 @@ def reason_stats(rows: DataFrame, reasons: str = "reason_list", k: int = 5) -> D
     listed = F.coalesce(c(reasons), F.array().cast("array<string>"))
     labels = F.when(F.size(listed) == 0, F.array(F.lit("Others"))).otherwise(
         F.transform(listed, lambda r: simplify_reason(format_reason(r))))
-    # The first label of a row stands for the row, so one grouping gives counts and rows.
-    spread = rows.select(F.posexplode(labels).alias("at", "label"))
-    counts = spread.groupBy("label").agg(
-        F.count("*").alias("count"), F.count_if(F.col("at") == 0).alias("__rows"))
-    # One row per label remains; the window over all labels adds up the rows.
-    total = F.sum("__rows").over(Window.partitionBy())
-    return (
-        counts.withColumn("percent", F.col("count") * 100.0 / total)
-        .drop("__rows").orderBy(F.desc("count"), "label").limit(k)
-    )
+    counts = rows.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("count"))
+    total = rows.agg(F.count("*")).scalar()
+    best = counts.orderBy(F.desc("count"), "label").limit(k)
+    return best.withColumn("percent", F.col("count") * 100.0 / total)
 
 
 def trend(rows: DataFrame, k: int = 5) -> DataFrame:

@@ -26,14 +26,14 @@ from auditlens.operators.ordering import first_rows
 from auditlens.operators.projection import with_model_names
 from auditlens.operators.rules import exclude_rule_rows, training_rules
 from auditlens.sources.catalog import Catalog
-from auditlens.sources.staging import file_row_id, spread, stage
+from auditlens.sources.staging import spread, stage
 
 
 @dataclass(frozen=True)
 class TrainingOptions:
     from_date: str | None = None
     cutoff: str = fixed.TRAINING_CUTOFF
-    max_rows: int = fixed.MAX_TRAINING_ROWS  # 0 trains on every row
+    max_rows: int = 0  # 0 trains on every row; else the first ones by date and ids
     null_limit: float = fixed.NULL_PERCENT_LIMIT
     text_limit: int = fixed.VARCHAR_LIMIT
     category_limit: int = fixed.CATEGORY_LIMIT
@@ -76,6 +76,28 @@ def training_sample(df: DataFrame, order: Sequence[str], max_rows: int) -> DataF
     return first_rows(df, order, max_rows) if max_rows > 0 else df
 
 
+COPIES_AT_ONCE = 10_000
+
+
+def with_content_ids(features: DataFrame) -> DataFrame:
+    """The rows with a ``row_id`` that depends on their values alone, so that another run or
+    another layout of the files gives the same ids, samples and trees.
+
+    Equal rows cannot be told apart; they are counted (with map-side combine) and numbered from
+    the count, a few thousand at a time, so that no task holds all copies of one row.
+    """
+    counted = features.groupBy(*[c(n) for n in features.columns]).agg(F.count("*").alias("__copies"))
+    lots = counted.withColumn("__lot", F.explode(F.sequence(
+        F.lit(0), F.floor((F.col("__copies") - 1) / COPIES_AT_ONCE))))
+    first = F.col("__lot") * COPIES_AT_ONCE
+    last = F.least(first + COPIES_AT_ONCE, F.col("__copies")) - 1
+    copies = lots.repartition("__lot", *[c(n) for n in features.columns]).withColumn(
+        "__copy", F.explode(F.sequence(first, last)))
+    return copies.select(
+        *[c(n) for n in features.columns],
+        F.xxhash64(*[c(n) for n in features.columns], F.col("__copy")).alias("row_id"))
+
+
 def train_dataset(
     catalog: Catalog, dataset: str, options: TrainingOptions = TrainingOptions()
 ) -> Model:
@@ -120,8 +142,8 @@ def train_frame(
     total = counts["training"] = features.count()
 
     preprocessor = fit_preprocessor(features, chosen)
-    vectors = spread(features, features.select(
-        file_row_id().alias("row_id"), preprocessor.vector().alias("features")))
+    numbered = stage(with_content_ids(features), "training-numbered")
+    vectors = spread(numbered, numbered.select("row_id", preprocessor.vector().alias("features")))
     grown = fit_forest(vectors, total, options.forest)
     trees = collect_forest(grown)
     tree_rows = min(options.forest.tree_rows, total)

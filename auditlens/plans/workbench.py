@@ -178,9 +178,10 @@ def run_workbench(
     payload = review_payload(
         dense.select(*[c(n) for n in business]).schema, list(request.tables),
         flagged.feature_names)
+    # Before the write: an amount column that is not there must not leave anomalies behind.
+    amount = amount_total(found, request.amount_field).first()[0]
     written = store.write_anomalies(
         build_anomalies(spread(found), request, model, run_id, payload, signals))
-    amount = amount_total(found, request.amount_field).first()[0]
     record = {
         **base, "total_rows": total, "user_rule_count": by_model["user_rule_count"],
         "ml_anomaly_count": by_model["ml_anomaly_count"],

@@ -14,13 +14,13 @@ from auditlens.model.forest import (
 from auditlens.operators.user_rules import UserRule
 from auditlens.plans.request import RunRequest
 from auditlens.plans.review import review_rows
-from auditlens.plans.training import TrainingOptions, train_dataset, training_summary
+from auditlens.plans.training import train_dataset, training_summary, with_content_ids
 from auditlens.plans.workbench import flag_rows, run_workbench, score_candidates
 from auditlens.sources.results import ResultStore
-from auditlens.sources.staging import file_row_id, spread, stage, staging_root
+from auditlens.sources.staging import spread, stage, staging_root
 from driver_queries.base import Tables, over, query
 
-SMALL = ForestParams(trees=60, tree_rows=256)
+FOREST = ForestParams()
 
 
 def vectors(t: Tables):
@@ -29,25 +29,24 @@ def vectors(t: Tables):
     rows = t.lineitem.select(
         *[(c(n) * off).cast("double").alias(n) for n in ("l_quantity", "l_extendedprice", "l_discount")],
         (off > 1).alias("planted"))
-    staged = stage(rows, "vectors")
+    staged = stage(with_content_ids(rows), "vectors")
     vector = F.array("l_quantity", "l_extendedprice", "l_discount")
-    return spread(staged, staged.select(
-        file_row_id().alias("row_id"), "planted", vector.alias("features")))
+    return spread(staged, staged.select("row_id", "planted", vector.alias("features")))
 
 
 def scored(t: Tables):
     rows = vectors(t)
     total = rows.count()
-    trees = collect_forest(fit_forest(rows, total, SMALL))
-    score = score_column(t.spark, trees, min(SMALL.tree_rows, total), F.col("features"))
+    trees = collect_forest(fit_forest(rows, total, FOREST))
+    score = score_column(t.spark, trees, min(FOREST.tree_rows, total), F.col("features"))
     return stage(rows.select("row_id", "planted", score.alias("score")), "scores")
 
 
-@query("forest_samples", "SELECT 60 AS trees, 256 AS fewest, 256 AS most, 60 * 256 AS \"rows\"")
+@query("forest_samples", "SELECT 500 AS trees, 2048 AS fewest, 2048 AS most, 500 * 2048 AS \"rows\"")
 def forest_samples(t: Tables):
     """Each tree draws its rows without replacement."""
     rows = vectors(t)
-    drawn = tree_samples(rows.select("row_id"), rows.count(), SMALL).distinct()
+    drawn = tree_samples(rows.select("row_id"), rows.count(), FOREST).distinct()
     each = drawn.groupBy("tree").agg(F.count("*").alias("n"))
     return each.agg(F.count("*").alias("trees"), F.min("n").alias("fewest"), F.max("n").alias("most"),
                     F.sum("n").alias("rows"))
@@ -58,6 +57,15 @@ def forest_scores(t: Tables):
     return scored(t)
 
 
+@query("forest_repeats", "SELECT count(*) AS scored_rows, 0 AS different FROM lineitem")
+def forest_repeats(t: Tables):
+    """Two trainings on the same rows, staged anew each time, give the same scores."""
+    again = scored(t).select("row_id", c("score").alias("again"))
+    return scored(t).join(again, "row_id").agg(
+        F.count("*").alias("scored_rows"),
+        F.count_if(~(F.abs(c("score") - c("again")) < 1e-12)).alias("different"))
+
+
 @query("forest_properties", "SELECT count(*) AS scored_rows, true AS in_range, true AS share_matches, "
        "true AS planted_stand_out FROM lineitem")
 def forest_properties(t: Tables):
@@ -73,18 +81,9 @@ def forest_properties(t: Tables):
                    > F.avg(F.when(~c("planted"), c("score"))), F.lit(True)).alias("planted_stand_out"))
 
 
-OPTIONS = TrainingOptions(forest=SMALL, max_rows=0)
-
-
-MODELS: dict = {}
-
-
 def trained(t: Tables):
-    """Model of orders and their line items, trained once per session and folder."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in MODELS:
-        MODELS[key] = train_dataset(t.catalog("dak", "bill"), "dak.bill", OPTIONS)
-    return MODELS[key]
+    """Model of orders and their line items."""
+    return train_dataset(t.catalog("dak", "bill"), "dak.bill")
 
 
 @query("training_summary", over(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +31,22 @@ REPORT_KEYS = {
 }
 
 
-def report_rows(predictions: DataFrame) -> DataFrame:
-    """Twelve derived columns per prediction. Needs ``prediction_id``, ``rule_flag``,
-    ``ml_score``, ``review_status``, ``feedback``, ``reason_list`` and ``payload``."""
+#: Columns of a report row and the looked-up fields that each one needs.
+REPORT_COLUMNS = {
+    "prediction_id": (), "bill_no": ("bill_no",), "vendor_name": ("vendor_name",),
+    "office": ("office_name",), "anomaly_type": (), "amount": ("amount",), "risk_score": (),
+    "risk_label": (), "detected_on": ("detected_on",), "status": (), "feedback": (),
+    "entity_type": ("vendor", "office"),
+}
+
+
+def report_rows(
+    predictions: DataFrame, columns: Sequence[str] = tuple(REPORT_COLUMNS)
+) -> DataFrame:
+    """Twelve derived columns per prediction, or some of them; only what they need is looked up
+    in the payload. Needs ``prediction_id``, ``rule_flag``, ``ml_score``, ``review_status``,
+    ``feedback``, ``reason_list`` and ``payload``."""
+    keys = {field: REPORT_KEYS[field] for name in columns for field in REPORT_COLUMNS[name]}
     simple = F.transform(F.slice(c("reason_list"), 1, 2), lambda r: simplify_reason(format_reason(r)))
     kind = F.array_join(simple, ", ")
     points = risk_score(c("rule_flag"), c("ml_score"))
@@ -41,21 +56,22 @@ def report_rows(predictions: DataFrame) -> DataFrame:
         return F.coalesce(found[name], F.lit("Unavailable"))
 
     looked_up = predictions.withColumn(
-        "__found", payload_values(c("payload"), REPORT_KEYS, skip_blank_text=True))
-    return looked_up.select(
-        "prediction_id",
-        shown("bill_no").alias("bill_no"),
-        shown("vendor_name").alias("vendor_name"),
-        shown("office_name").alias("office"),
-        F.when(kind != "", kind).otherwise("No reason").alias("anomaly_type"),
-        F.coalesce(float_of(found["amount"]), F.lit(0.0)).alias("amount"),
-        points.alias("risk_score"),
-        risk_label(points).alias("risk_label"),
-        shown("detected_on").alias("detected_on"),
-        review_status(c("review_status"), c("feedback")).alias("status"),
-        F.coalesce(capitalize(c("feedback")), F.lit("Pending")).alias("feedback"),
-        entity_of(found).alias("entity_type"),
-    )
+        "__found", payload_values(c("payload"), keys, skip_blank_text=True)) if keys else predictions
+    made = {
+        "prediction_id": lambda: c("prediction_id"),
+        "bill_no": lambda: shown("bill_no"),
+        "vendor_name": lambda: shown("vendor_name"),
+        "office": lambda: shown("office_name"),
+        "anomaly_type": lambda: F.when(kind != "", kind).otherwise("No reason"),
+        "amount": lambda: F.coalesce(float_of(found["amount"]), F.lit(0.0)),
+        "risk_score": lambda: points,
+        "risk_label": lambda: risk_label(points),
+        "detected_on": lambda: shown("detected_on"),
+        "status": lambda: review_status(c("review_status"), c("feedback")),
+        "feedback": lambda: F.coalesce(capitalize(c("feedback")), F.lit("Pending")),
+        "entity_type": lambda: entity_of(found),
+    }
+    return looked_up.select(*[made[name]().alias(name) for name in columns])
 
 
 def risk_buckets(rows: DataFrame) -> DataFrame:

@@ -41,8 +41,8 @@ def predictions(t: Tables):
     return to_prediction(t.results.withColumn("payload", payload))
 
 
-def report(t: Tables):
-    return R.report_rows(predictions(t))
+def report(t: Tables, *columns: str):
+    return R.report_rows(predictions(t), columns) if columns else R.report_rows(predictions(t))
 
 
 @query("report_rows", over(
@@ -66,7 +66,7 @@ def filtered_report(t: Tables):
     "FILTER (WHERE risk_label = 'High') AS high, count(*) FILTER (WHERE risk_label = 'Medium') AS medium, "
     "count(*) FILTER (WHERE risk_label = 'Low') AS low FROM g)", "results", g=REPORT))
 def risk_buckets(t: Tables):
-    return R.risk_buckets(report(t)).withColumn("high_percent", F.round("high_percent", 6))
+    return R.risk_buckets(report(t, "risk_label")).withColumn("high_percent", F.round("high_percent", 6))
 
 
 @query("reason_stats", over(
@@ -90,7 +90,7 @@ def reason_stats(t: Tables):
     "AS DATE) AS d FROM g) GROUP BY 1) ORDER BY first_day DESC NULLS FIRST, label DESC LIMIT 5",
     "results", g=REPORT))
 def trend(t: Tables):
-    return R.trend(report(t)).withColumn("first_day", c("first_day").cast("string"))
+    return R.trend(report(t, "detected_on", "risk_label", "amount")).withColumn("first_day", c("first_day").cast("string"))
 
 
 @query("row_totals", over(
@@ -98,14 +98,14 @@ def trend(t: Tables):
     "(WHERE status = 'Approved') AS accepted, count(*) FILTER (WHERE status = 'Pending') AS pending, "
     "CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM g", "results", g=REPORT))
 def row_totals(t: Tables):
-    return R.row_totals(report(t))
+    return R.row_totals(report(t, "status", "amount"))
 
 
 @query("top_alerts", over(
     "SELECT prediction_id, risk_score, vendor_name FROM g ORDER BY risk_score DESC, prediction_id LIMIT 4",
     "results", g=REPORT))
 def top_alerts(t: Tables):
-    return R.top_alerts(report(t)).select("prediction_id", "risk_score", "vendor_name")
+    return R.top_alerts(report(t, "prediction_id", "risk_score", "vendor_name")).select("prediction_id", "risk_score", "vendor_name")
 
 
 @query("approvers", over(

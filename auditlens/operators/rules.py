@@ -144,6 +144,16 @@ def duplicate_keys(df: DataFrame, keys: DuplicateKeys) -> DataFrame:
     )
 
 
+def related_keys(df: DataFrame, keys: DuplicateKeys) -> DataFrame:
+    """All related keys of all duplicate invoices, one row each: a shape that holds for groups
+    of any size. The hot side of the join is split, as both sides are plain exchanges."""
+    marked = _marked_invoices(df, keys).where(F.col("related_key").isNotNull())
+    groups = duplicate_keys(df, keys).select("invoice_key", "invoice_date_key")
+    return marked.join(groups, ["invoice_key", "invoice_date_key"], "left_semi").select(
+        F.lit(keys.table).alias("table"), F.col("invoice_key").cast("string").alias("invoice_number"),
+        F.col("invoice_date_key").cast("string").alias("invoice_date"), "related_key")
+
+
 def related_key_pages(
     df: DataFrame, keys: DuplicateKeys, *, page_keys: int = PAGE_KEYS
 ) -> DataFrame:
@@ -170,7 +180,8 @@ def duplicate_invoices(
 ) -> DataFrame:
     """Duplicate invoice keys with their related keys, listed while there are few.
 
-    Beyond ``inline_keys`` the list is NULL here and :func:`related_key_pages` holds it.
+    Beyond ``inline_keys`` the list is NULL here; :func:`related_keys` holds every key, and a run
+    stores them beside its anomalies.
     """
     groups = duplicate_keys(df, keys)
     lists = (

@@ -6,7 +6,7 @@ column ratios, profiles and the forest, never rows.
 
 from __future__ import annotations
 
-from dataclasses import astuple, dataclass
+from dataclasses import astuple, dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from auditlens.operators.explain import explanation_signals, fit_profiles, reaso
 from auditlens.operators.filters import date_literal, date_window
 from auditlens.operators.joins import join_tables
 from auditlens.operators.projection import drop_sparse
-from auditlens.operators.rules import apply_rules, builtin_rules
+from auditlens.operators.rules import DuplicateKeys, apply_rules, builtin_rules, related_keys
 from auditlens.operators.signals import SIGNAL_TYPE
 from auditlens.operators.summaries import amount_total, run_counters
 from auditlens.operators.user_rules import apply_user_rules
@@ -34,6 +34,7 @@ RULE_COLUMNS = (
     "user_rule_flag", "user_rule_reasons", "sql_rule_flag", "sql_rule_reasons",
     "sql_rule_evidence",
 )
+INVOICE = ("table", "invoice_number", "invoice_date")
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,7 @@ class Flagged:
     rows: DataFrame
     feature_names: list[str]
     warnings: list[str]
+    duplicates: list[DuplicateKeys] = field(default_factory=list)
 
 
 def flag_rows(catalog: Catalog, request: RunRequest) -> Flagged:
@@ -53,7 +55,8 @@ def flag_rows(catalog: Catalog, request: RunRequest) -> Flagged:
     flagged = apply_rules(window, catalog, rules)
     user, user_warnings = apply_user_rules(flagged, request.user_rules)
     featured, names, feature_warnings = apply_features(user, request.feature_rules)
-    return Flagged(featured, names, feature_warnings + user_warnings)
+    return Flagged(featured, names, feature_warnings + user_warnings,
+                   [r.duplicates for r in rules if r.duplicates])
 
 
 def contract_rows(flagged: DataFrame, model: Model) -> DataFrame:
@@ -182,6 +185,12 @@ def run_workbench(
     amount = amount_total(found, request.amount_field).first()[0]
     written = store.write_anomalies(
         build_anomalies(spread(found), request, model, run_id, payload, signals))
+    told = stage(found.select(F.explode("sql_rule_evidence").alias("e")).select(
+        *[F.col("e")[n].alias(n) for n in INVOICE]).distinct(), "invoices")
+    for keys in flagged.duplicates:
+        store.write_related(
+            related_keys(catalog.table(keys.table), keys).join(told, list(INVOICE), "left_semi"),
+            run_id)
     record = {
         **base, "total_rows": total, "user_rule_count": by_model["user_rule_count"],
         "ml_anomaly_count": by_model["ml_anomaly_count"],

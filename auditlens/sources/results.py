@@ -37,6 +37,9 @@ RUN_COLUMNS: dict[str, tuple[str, object]] = {
     "metrics": ("map<string,string>", None),
     "status": ("string", "COMPLETED"),
 }
+RELATED_SCHEMA = (
+    "`table` string, invoice_number string, invoice_date string, related_key string, ml_run_id int"
+)
 RUN_SCHEMA = ", ".join(f"{name} {dtype}" for name, (dtype, _) in RUN_COLUMNS.items())
 
 
@@ -121,6 +124,16 @@ class ResultStore:
             "first_id": int(last) + 1 if added else None, "last_id": int(last) + added,
         }
 
+    def write_related(self, rows: DataFrame, run_id: int) -> None:
+        """Append the related keys of the duplicate invoices of a run, one row per key."""
+        rows.withColumn("ml_run_id", F.lit(int(run_id))).write.mode("append").partitionBy(
+            "ml_run_id").parquet(self._path("related"))
+
+    def related_keys(self) -> DataFrame:
+        """table, invoice_number, invoice_date, related_key and ml_run_id of all runs."""
+        rows = self._read("related")
+        return self.spark.createDataFrame([], RELATED_SCHEMA) if rows is None else rows
+
     # --- runs -----------------------------------------------------------------------------
 
     def runs(self) -> DataFrame:

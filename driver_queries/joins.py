@@ -161,6 +161,20 @@ def duplicate_key_groups(t: Tables):
         "invoice_date_key", F.col("invoice_date_key").cast("string"))
 
 
+@query("related_keys", "SELECT DISTINCT 'bill' AS \"table\", CAST(l_suppkey % 3 AS VARCHAR) AS invoice_number, "
+       "'1997-01-01' AS invoice_date, CAST(l_orderkey AS VARCHAR) AS related_key FROM lineitem "
+       "WHERE l_linestatus = 'F'")
+def related_keys_of_large_groups(t: Tables):
+    """Three invoices with a third of all rows each: every related key, one row each."""
+    from auditlens.operators.rules import related_keys
+
+    rows = t.lineitem.select(
+        c("l_orderkey").alias("fk_dak"), (c("l_suppkey") % 3).alias("invoice_no"),
+        F.lit("1997-01-01").alias("invoice_date"),
+        F.when(c("l_linestatus") == "F", "V").otherwise("P").alias("record_status"))
+    return related_keys(rows, BILL_KEYS)
+
+
 @query("listagg_keys", over(
     "SELECT invoice_key, CAST(invoice_date_key AS VARCHAR) AS invoice_date_key, related FROM g",
     "bill", g=DUPLICATES))

@@ -23,7 +23,8 @@ from auditlens.operators.profiles import (
     boolean_profile, category_profile, is_binary, numeric_profile, spelled_true,
 )
 from auditlens.operators.signals import (
-    COMPARISON_TYPE, SIGNAL_TYPE, is_gap_name, is_missing_name, rank_signals, row_facts,
+    COMPARISON_TYPE, SIGNAL_TYPE, is_gap_name, is_missing_name, row_facts, signal_group,
+    signal_priority,
 )
 
 # --- Fixed values: names that mark a yes/no feature ---------------------------------------
@@ -134,24 +135,44 @@ def signal_strength(kind: str, scaled: Column, compared: Column) -> tuple[Column
 def explanation_signals(
     df: DataFrame, preprocessor: Preprocessor, profiles: Profiles, k: int = fixed.MAX_SIGNALS
 ) -> Column:
-    """Ranked signals of a row of the feature frame."""
-    signals = []
+    """Ranked signals of a row of the feature frame, as :func:`rank_signals` orders them.
+
+    Priority and group of a feature are known when the plan is built, so light entries (number
+    and strength) are ranked, and only the few signals that are kept get their full record.
+    """
+    entries, records = [], []
     empty = F.lit(None).cast(COMPARISON_TYPE)
-    for feature, scaled in zip(preprocessor.features(), preprocessor.columns()):
+    for number, (feature, scaled) in enumerate(zip(preprocessor.features(), preprocessor.columns())):
         compared = comparison(feature, df, profiles)
         compared = empty if compared is None else compared
         kind = signal_kind(feature.display, profiles.binary.get(feature.source, False)
                            and feature.category is None)
         strength, method, direction = signal_strength(kind, scaled, compared)
-        record = F.struct(
-            F.lit(feature.display).alias("feature"),
+        name = F.lit(feature.display)
+        entries.append(F.when(strength.isNotNull(), F.struct(
+            signal_priority(name).alias("priority"), (-strength).alias("rank"),
+            F.lit(number).alias("number"), signal_group(name).alias("group"))))
+        records.append(F.struct(
+            name.alias("feature"),
             text_of(c(feature.source), df.schema[feature.source].dataType).alias("value"),
             scaled.cast("double").alias("scaled_value"), strength.alias("strength"),
             direction.alias("direction"), F.lit(method).alias("method"),
             compared.alias("comparison"),
-        ).cast(SIGNAL_TYPE)
-        signals.append(F.when(strength.isNotNull(), record))
-    return rank_signals(F.array_compact(F.array(*signals)), k)
+        ).cast(SIGNAL_TYPE))
+    if not entries:
+        return F.array().cast(f"array<{SIGNAL_TYPE}>")
+
+    def chosen(ranked: Column) -> Column:
+        firsts = F.filter(ranked, lambda r, i: F.array_position(ranked["group"], r["group"]) == i + 1)
+        return F.slice(firsts, 1, k)["number"]
+
+    def record(number: Column) -> Column:
+        found = F.when(number == 0, records[0])
+        for i, full in enumerate(records[1:], 1):
+            found = found.when(number == i, full)
+        return found
+
+    return F.transform(bind(F.array_sort(F.array_compact(F.array(*entries))), chosen), record)
 
 
 # --- words ------------------------------------------------------------------------------------

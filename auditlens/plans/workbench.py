@@ -172,7 +172,7 @@ def run_workbench(
     if by_model["ml_anomaly_count"]:
         # Profiles need no scores: they read the staged rows, not the scored ones.
         scored_rows = contract_rows(dense, model).where(~c("__dropped") & ~c("rule_flag"))
-        eligible = scored_rows.select(*[c(n) for n in features])
+        eligible = stage(scored_rows.select(*[c(n) for n in features]), "eligible")
         profiles = fit_profiles(eligible, model.preprocessor)
         signals = F.when(
             c("ml_flag"), explanation_signals(found, model.preprocessor, profiles)

@@ -61,8 +61,12 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), WORD_GAP), "")
 
 
+def template_words(text: str) -> list[str]:
+    return [w for w in re.split(WORD_GAP, text.lower()) if w]
+
+
 def _vocabulary() -> list[str]:
-    return sorted({w for _, text in TEMPLATES for w in re.split(WORD_GAP, text.lower()) if w})
+    return sorted({w for _, text in TEMPLATES for w in template_words(text)})
 
 
 def _summed(parts: list[Column]) -> Column:
@@ -102,7 +106,7 @@ def scored_headers(texts: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.when(F.col("at") > 0, F.struct("term", "weight")))).alias("weights"))
     scores = []
     for licence, text in TEMPLATES:
-        terms = [w for w in re.split(WORD_GAP, text.lower()) if w]
+        terms = template_words(text)
         weights = {w: terms.count(w) * F.element_at(idf, vocabulary.index(w) + 1) for w in sorted(set(terms))}
         norm = F.sqrt(_summed([x * x for x in weights.values()]))
         dot = _summed([x * F.coalesce(F.try_element_at("weights", F.lit(w)), F.lit(0.0)) for w, x in weights.items()])

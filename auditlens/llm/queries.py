@@ -78,7 +78,45 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs.withColumn("held_out", held_out), net, ["doc_id", "held_out"])
 
 
-@query("op3_secrets")
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _secrets_sql() -> str:
+    """The same spans from counted windows; candidates are cut without lookahead."""
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {no} AS no, regexp_extract_all(t, {_literal(p)}, 0) AS f, "
+        f"regexp_extract_all(t, {_literal(p)}, {group}) AS v, string_split_regex(t, {_literal(p)}) AS b FROM d"
+        for no, p, group in ((0, secrets.ASSIGN, 1), (1, secrets.ACCESS, 0), (2, secrets.HEX, 0),
+                             (9, "[A-Za-z0-9+/_=-]{20,}", 0)))
+    allowed = " OR ".join(f"regexp_matches(w, {_literal(p)})" for p in secrets.ALLOWED)
+    kind = " ".join(f"WHEN regexp_matches(w, {_literal(p)}) THEN {3 + i}" for i, (_, p, _) in enumerate(secrets.CLASSES))
+    least = " ".join(f"WHEN {3 + i} THEN {bits}" for i, (_, _, bits) in enumerate(secrets.CLASSES))
+    names = ", ".join(map(_literal, secrets.KINDS))
+    share = "(20 - length(replace(w[i + 1:i + 20], c, ''))) / 20.0"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({found}),
+ p AS (SELECT doc_id, no, list_sum(list_transform(b[1:i], lambda x: length(x)))
+         + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS s, f[i] AS w, v[i] AS v
+       FROM m, unnest(range(1, len(f) + 1)) u(i)),
+ base AS (SELECT doc_id, s, no, s + length(w) AS e FROM p WHERE no = 0 AND length(v) >= 6 OR no IN (1, 2)),
+ c AS (SELECT doc_id, s, w, CASE {kind} END AS no FROM p
+       WHERE no = 9 AND regexp_matches(w, '[0-9]') AND NOT ({allowed}) AND NOT EXISTS (
+         SELECT 1 FROM base b WHERE b.doc_id = p.doc_id AND b.s < p.s + length(p.w) AND p.s < b.e)),
+ hot AS (SELECT doc_id, s, no, i FROM c, unnest(range(0, length(w) - 19)) u(i)
+         WHERE -list_sum(list_transform(list_distinct(string_split(w[i + 1:i + 20], '')),
+           lambda c: {share} * log2({share}))) >= CASE no {least} END),
+ x AS (SELECT * FROM base UNION ALL
+       SELECT doc_id, s + min(i), no, s + max(i) + 20 FROM hot GROUP BY doc_id, s, no),
+ y AS (SELECT *, concat([{names}][no + 1], ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)) AS line FROM x)
+SELECT doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access,
+       count(*) FILTER (no = 2) AS n_hex,
+       sha256(coalesce(string_agg(line, ',' ORDER BY s, no) FILTER (no < 3), '')) AS base_sha256,
+       coalesce(string_agg(line, ',' ORDER BY s, no), '') AS spans
+FROM d LEFT JOIN y USING (doc_id) GROUP BY doc_id"""
+
+
+@query("op3_secrets", _secrets_sql())
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = F.col("found")
     base = secrets.base_spans(found)
@@ -155,7 +193,46 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-@query("op4_licences")
+def _licences_sql() -> str:
+    """Cosines by joins of words; `source` is the only directory of a document here."""
+    rows = ", ".join(
+        f"({i}, {_literal(name)}, {_literal(word)})" for i, (name, text) in enumerate(licences.TEMPLATES)
+        for word in licences.template_words(text))
+    gap, likely = _literal(licences.WORD_GAP), _literal(licences.LIKELY)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS folder FROM documents),
+ t AS (SELECT tid, licence, term, count(*) AS tf FROM (VALUES {rows}) v(tid, licence, term) GROUP BY ALL),
+ total AS (SELECT count(*) AS n FROM d),
+ f AS (SELECT term, count(*) AS docs FROM (SELECT unnest(list_distinct(string_split_regex(lower(t), {gap}))) AS term
+         FROM d) WHERE term IN (SELECT term FROM t) GROUP BY term),
+ idf AS (SELECT DISTINCT t.term, ln((n + 1) / (coalesce(docs, 0) + 1)) + 1 AS idf
+         FROM t CROSS JOIN total LEFT JOIN f ON f.term = t.term),
+ tw AS (SELECT tid, licence, term, tf * idf AS w FROM t JOIN idf USING (term)),
+ tn AS (SELECT tid, sqrt(sum(w * w)) AS norm FROM tw GROUP BY tid),
+ s AS (SELECT doc_id, string_split_regex(t, {_literal(licences.SENTENCE_END)}) AS s FROM d WHERE regexp_matches(t, {likely})),
+ h AS (SELECT doc_id, i AS part, s[i] AS header FROM s, unnest(range(1, len(s) + 1)) u(i) WHERE regexp_matches(s[i], {likely})),
+ w AS (SELECT doc_id, part, term, count(*) AS tf FROM (SELECT doc_id, part,
+         unnest(string_split_regex(lower(header), {gap})) AS term FROM h) WHERE term <> '' GROUP BY ALL),
+ hw AS (SELECT doc_id, part, w.term, tf * coalesce(idf, ln(n + 1) + 1) AS w FROM w CROSS JOIN total LEFT JOIN idf USING (term)),
+ hn AS (SELECT doc_id, part, sqrt(sum(w * w)) AS norm FROM hw GROUP BY ALL),
+ r AS (SELECT doc_id, part, licence, round(sum(hw.w * tw.w) / (any_value(hn.norm) * any_value(tn.norm)), 9) AS cosine
+       FROM hw JOIN tw USING (term) JOIN hn USING (doc_id, part) JOIN tn USING (tid) GROUP BY doc_id, part, tid, licence),
+ g AS (SELECT * FROM r WHERE cosine >= {licences.MIN_COSINE}),
+ own AS (SELECT doc_id, licence, cosine FROM g
+         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence, part) = 1),
+ chars AS (SELECT doc_id, sum(length(header)) AS chars FROM h
+           WHERE (doc_id, part) IN (SELECT (doc_id, part) FROM g) GROUP BY doc_id),
+ dirs AS (SELECT folder, licence FROM own JOIN chars USING (doc_id) JOIN d USING (doc_id)
+          WHERE chars >= {licences.MIN_SHARE} * length(t)
+          QUALIFY row_number() OVER (PARTITION BY folder ORDER BY cosine DESC, licence, doc_id) = 1)
+SELECT d.doc_id, coalesce(own.licence, near.licence, top.licence) AS licence, coalesce(own.cosine, 0) AS cosine,
+       CASE WHEN own.licence IS NOT NULL THEN 'header' WHEN near.licence IS NOT NULL OR top.licence IS NOT NULL
+         THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN own.licence IS NULL THEN coalesce(near.folder, top.folder) END AS licence_dir
+FROM d LEFT JOIN own USING (doc_id) LEFT JOIN dirs near ON near.folder = d.folder LEFT JOIN dirs top ON top.folder = ''"""
+
+
+@query("op4_licences", _licences_sql())
 def op4_licences(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return licences.scan(docs.select(

@@ -4,7 +4,8 @@ A sequence of tokens is the BPE encoding of its bytes exactly if each two neighb
 merging the bytes of both alone gives these two tokens again. That is a condition on neighbours,
 so a nondeterministic finite-state transducer can guess the tokens: its states are (token before,
 node of the vocabulary trie that the bytes of the next token have reached). At a trie node of a
-token that fits the one before it may emit the token and start the next one.
+token that fits the one before it may emit the token and start the next one. A guess of which no
+longer token can fit is dropped, and the token before is forgotten once every one would fit.
 
 ``Transducer`` determinises it by subset construction while it reads: a deterministic state is
 the set of guesses that are still alive, each with the tokens on which it differs from the rest.
@@ -30,6 +31,9 @@ from pyspark.sql import functions as F
 from auditlens.llm.arrays import slices
 
 MAX_STEPS, MAX_PIECES, MAX_PAIRS, BLOCK = 250_000, 250_000, 200_000, 8192
+FEW_TOKENS = 12
+#: Instead of the token before: there is none, any token may follow, no longer token fits.
+START, ANY, NONE = -1, -2, -3
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,6 +60,18 @@ class Transducer:
                     nodes += 1
                     self.token_at.append(-1)
             self.token_at[node] = rank
+        # The tokens that are longer than a node, for nodes with few of them.
+        self.longer: list[list[int] | None] = [[] for _ in range(nodes)]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                tokens = self.longer[node]
+                if tokens is not None:
+                    tokens.append(rank)
+                    if len(tokens) > FEW_TOKENS:
+                        self.longer[node] = None
+                node = self.child[node << 8 | byte]
+        self.hopes: dict[int, int] = {}
         self.packed = {rank: rank.to_bytes(4, "little") for rank in self.bytes_of}
         self.pairs: dict[int, bool] = {}
         self.wholes: dict[int, bool] = {}
@@ -63,8 +79,8 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        # A guess is (token before, trie node, tokens not yet emitted); -1 before the first token.
-        self.start = ((-1, 0, ()),)
+        # A guess is (token before, trie node, tokens not yet emitted).
+        self.start = ((START, 0, ()),)
         self.numbers = {self.start: 0}
         self.states = [self.start]
         self.steps: dict[int, tuple[int, bytes]] = {}
@@ -99,8 +115,8 @@ class Transducer:
         It does unless an end part of the first and a start part of the second one, both there
         at one time, are merged before either is merged into the rest of its token.
         """
-        if before < 0:
-            return self.whole(token)
+        if before <= START:
+            return before == ANY or self.whole(token)
         found = self.pairs.get(before << 20 | token)
         if found is None:
             if len(self.pairs) > MAX_PAIRS:
@@ -121,6 +137,20 @@ class Transducer:
             self.pairs[before << 20 | token] = found
         return found
 
+    def hope(self, before: int, node: int) -> int:
+        """The token before, ANY if every longer token fits it, NONE if none does."""
+        tokens = self.longer[node]
+        if tokens is None:
+            return before
+        found = self.hopes.get(before << 20 | node)
+        if found is None:
+            if len(self.hopes) > MAX_PAIRS:
+                self.hopes.clear()
+            good = sum(self.fits(before, token) for token in tokens)
+            found = NONE if not good else ANY if good == len(tokens) else before
+            self.hopes[before << 20 | node] = found
+        return found
+
     def whole(self, token: int) -> bool:
         """Whether merging the bytes of a token gives the token."""
         found = self.wholes.get(token)
@@ -131,17 +161,19 @@ class Transducer:
 
     def _step(self, number: int, byte: int) -> tuple[int, bytes]:
         """The next state, and the tokens on which all of its guesses agree."""
-        alive, child, token_at, pairs = [], self.child, self.token_at, self.pairs
+        alive, child, token_at, pairs, longer = [], self.child, self.token_at, self.pairs, self.longer
         for before, node, tokens in self.states[number]:
             node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            alive.append((before, node, tokens))
             token = token_at[node]
             if token >= 0:
                 good = pairs.get(before << 20 | token)
                 if self.fits(before, token) if good is None else good:
                     alive.append((token, 0, (*tokens, token)))
+            hope = before if before == ANY and longer[node] != [] else self.hope(before, node)
+            if hope != NONE:
+                alive.append((hope, node, tokens))
         first, agreed = alive[0][2], b""
         while first:
             token = first[0]

@@ -260,7 +260,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     given = with_ids(docs)
     buckets = max(LEAST_BUCKETS, text_bytes(given) // BUCKET_BYTES)
     anchors = given.mapInArrow(_anchors(length), "doc_id long, seed long, place long")
-    several = anchors.groupBy("seed").count().where("count > 1").select("seed")
+    # Written first, so that Spark can split a hot anchor in the join.
+    several = stage(anchors.groupBy("seed").count().where("count > 1").select("seed"), "seeds")
     places = stage(anchors.join(several, "seed").groupBy("doc_id").agg(
         F.collect_list(F.struct("seed", "place")).alias("places")), "places")
     ids = stage(places.select("doc_id"), "ids")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -16,8 +15,9 @@ from auditlens.functions.scalars import (
 )
 from auditlens.operators.ordering import _run
 
-# --- Fixed values: names that mark identifiers -------------------------------------------
-ID_LIKE = re.compile(r"_fk_|_(?:no|number|code)_|_(?:id|no|number|code)$")
+
+def is_id_like(name: str) -> bool:
+    return name.endswith(fixed.ID_LIKE_SUFFIXES) or any(p in name for p in fixed.ID_LIKE_PARTS)
 
 
 @dataclass(frozen=True)
@@ -216,7 +216,7 @@ def filter_columns(
     left = [n for n in names if n not in empty]
     dropped = DroppedColumns(
         sorted(empty),
-        sorted(n for n in left if ID_LIKE.search(n)),
+        sorted(n for n in left if is_id_like(n)),
         sorted(n for n in text_columns if n in left),
         sorted(n for n, size in zip(texts, longest)
                if n in left and n not in text_columns and (size or 0) > text_limit),

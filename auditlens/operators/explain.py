@@ -274,17 +274,15 @@ def clause(signal: Column) -> Column:
 def _first_content_word(text: Column) -> Column:
     words = F.filter(
         F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0),
-        lambda w: ~w.isin("the", "a", "an", "this", "that", "record", "is", "are", "was"),
+        lambda w: ~w.isin(*fixed.EMPTY_WORDS),
     )
     return F.coalesce(F.get(words, 0), F.substring(text, 1, 10))
 
 
 def _speaks_of_missing(text: Column) -> Column:
     lower = F.lower(text)
-    phrases = ("missing field", "field is missing", "required field is missing",
-               "record is missing", "missing a usually-common", "__missing", "missingflag")
     hit = F.lit(False)
-    for phrase in phrases:
+    for phrase in fixed.MISSING_PHRASES:
         hit = hit | lower.contains(phrase)
     return hit
 
@@ -293,11 +291,7 @@ def clean_sentence(text: Column) -> Column:
     """First sentence without score wording, at most 35 words; may be empty."""
     out = F.regexp_replace(strip_blanks(collapse_blanks(text)), r"^[\"']+|[\"']+$", "")
     out = F.regexp_replace(out, r"(?i)^reason\s*:\s*", "")
-    for pattern in (
-        r"(?i)\bIF\s+score\b[^.;,]*(?:[.;,]\s*)?",
-        r"(?i)\b(?:isolation forest|anomaly score|threshold|score gap|model score"
-        r"|numeric anomaly cutoff)\b[^.;,]*(?:[.;,]\s*)?",
-    ):
+    for pattern in fixed.SCORE_PATTERNS:
         out = F.regexp_replace(out, pattern, "")
     out = F.regexp_replace(collapse_blanks(out), r"^[ ;,.]+|[ ;,.]+$", "")
     first = strip_blanks(F.get(F.split(out, r"(?<=[.!?])\s+"), 0))

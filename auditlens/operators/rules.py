@@ -273,7 +273,7 @@ def duplicate_invoice(keys: DuplicateKeys, schema: T.StructType) -> Rule:
         & (status(c(f"{keys.table}.{keys.status}")) == "V")
         & (F.coalesce(found["duplicate_count"], F.lit(0)) >= 2)
     )
-    reason = f"{keys.table} has duplicate {keys.invoice} and invoice_date with record_status V"
+    reason = fixed.REASON_DUPLICATE_INVOICE.format(table=keys.table, invoice=keys.invoice)
     return Rule(reason, hit, duplicates=keys,
                 evidence=F.when(hit, duplicate_evidence(keys, invoice, day, found)))
 

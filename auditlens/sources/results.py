@@ -21,7 +21,7 @@ JOIN_TYPE = (
 FEATURE_TYPE = (
     "array<struct<name:string,feature_type:string,first_column:string,second_column:string>>"
 )
-# Column of a run record: its type and its default.
+# --- Fixed values: columns of a run record, their types and defaults ---------------------
 RUN_COLUMNS: dict[str, tuple[str, object]] = {
     "run_id": ("bigint", None),
     "run_name": ("string", "Ad hoc workbench run"),
@@ -160,7 +160,7 @@ class ResultStore:
         words = {str(word).strip().lower() for _, word in records}
         unknown = words - set(fixed.FEEDBACK_SCORES)
         if unknown:
-            raise ValueError("Feedback must be Accept, Reject, or Maybe.")
+            raise ValueError(f"Unknown feedback words: {sorted(unknown)}; use one of {sorted(fixed.FEEDBACK_SCORES)}.")
         given = self.spark.createDataFrame(
             [(int(i), str(w).strip().lower(), at.isoformat(sep=" "), n)
              for n, (i, w) in enumerate(records)],

@@ -12,10 +12,11 @@ _own_folder: dict[str, str] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    """Own folder of the application below the shared one named by ``spark.checkpoint.dir``; a
+    temporary one in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
     app = spark.sparkContext.applicationId
@@ -31,6 +32,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_staging(spark: SparkSession) -> None:
+    """Remove all that the application has staged. Frames that read it are of no use then."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(staging_root(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(staged: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """Rows for heavy work per row: a staged frame of few files for the number of cores is
     small, and is dealt out to all of them; a larger one is left as it lies.

@@ -335,3 +335,13 @@ def test_csv_and_merged_schema(spark, tmp_path):
     assert read_csv_source(spark, str(path), "SET string, a double, b string").dtypes[0] == ("a", "double")
     rows = merged_schema(Catalog({"t": df}), ["t"]).collect()
     assert [(r["model_column"], r["family"]) for r in rows] == [("t_a", "numeric"), ("t_b", "datetime")]
+
+
+def test_staged_tables_can_be_removed(spark):
+    from auditlens.sources.results import exists
+    from auditlens.sources.staging import clear_staging, stage, staging_root
+
+    kept = stage(spark.range(5).toDF("n"), "some")
+    assert kept.count() == 5 and exists(spark, staging_root(spark))
+    clear_staging(spark)
+    assert not exists(spark, staging_root(spark))

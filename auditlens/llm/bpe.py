@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from auditlens.llm.arrays import slices
 
 MAX_STEPS, MAX_PIECES, MAX_PAIRS, BLOCK = 250_000, 250_000, 200_000, 8192
-FEW_TOKENS = 12
+FEW_TOKENS, LONG_TEXT = 12, 1 << 20
 #: Instead of the token before: there is none, any token may follow, no longer token fits.
 START, ANY, NONE = -1, -2, -3
 
@@ -267,8 +267,11 @@ class Tokenizer:
 
     def encode(self, text: str) -> bytes:
         """All ids of a text as little-endian 32-bit numbers."""
-        matches, parts = self.pattern.finditer(text), []
         known, ids = self.known, self._ids
+        if len(text) <= LONG_TEXT:
+            return b"".join([known.get(p) or ids(p) for p in self.pattern.findall(text)])
+        # The matches of a long text are not all held at once.
+        matches, parts = self.pattern.finditer(text), []
         while block := [m[0] for m in islice(matches, BLOCK)]:
             parts.append(b"".join([known.get(p) or ids(p) for p in block]))
         return b"".join(parts)
@@ -277,7 +280,7 @@ class Tokenizer:
         """Blocks of (bytes, characters) of an encoded text."""
         numbers, stream, table = np.frombuffer(ids, "<u4"), Utf8Stream(), self.table
         for at in range(0, len(numbers), BLOCK):
-            data = b"".join([table[i] for i in numbers[at:at + BLOCK].tolist()])
+            data = b"".join(map(table.__getitem__, numbers[at:at + BLOCK].tolist()))
             yield data, stream.feed(data)
         yield b"", stream.finish()
 

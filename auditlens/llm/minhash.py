@@ -40,6 +40,8 @@ from auditlens.sources.staging import stage
 REPEATS, LEFT, LEFT_ROWS, RIGHT, RIGHT_ROWS = 3, 6, 3, 4, 2
 #: Members drawn of a component; documents of a tile; columns of a matrix at a time.
 DRAWN, TILE, COLUMNS = 8, 256, 16384
+#: Texts of which a task remembers the sets.
+KNOWN_BYTES = 4 << 20
 MINHASHES = REPEATS * (LEFT * LEFT_ROWS + RIGHT * RIGHT_ROWS)
 
 
@@ -117,13 +119,17 @@ def _keys(batches):
 def _verified(size: int, percent: int):
     def run(batches):
         known: dict[bytes, np.ndarray] = {}
+        held = 0
 
         def set_of(text: bytes | None) -> np.ndarray:
+            nonlocal held
             text = text or b""
             found = known.get(text)
             if found is None:
-                if sum(map(len, known)) > 8 << 20:
+                if held > KNOWN_BYTES:
                     known.clear()
+                    held = 0
+                held += len(text)
                 found = known[text] = shingle_sets([text], size)[0]
             return found
 

@@ -208,8 +208,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     coded = stage(firsts.mapInArrow(
         _coded(k, tables), "vec_id long, n long, unit binary, codes array<long>"), "coded")
     members = coded.select("vec_id", F.explode(F.array_distinct("codes")).alias("code"))
-    shared = members.groupBy("code").count().where("count > 1").select(
-        "code", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
+    shared = stage(members.groupBy("code").count().where("count > 1").select(
+        "code", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "shared")
     tile = F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int")
     parts = coded.sparkSession.conf.get("spark.sql.shuffle.partitions")
     cells = (

@@ -45,6 +45,7 @@ def test_long_runs_full_tables_and_blocks(own, known, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_PIECES", 3)
     monkeypatch.setattr(bpe, "MAX_PAIRS", 10)
     monkeypatch.setattr(bpe, "BLOCK", 7)
+    monkeypatch.setattr(bpe, "LONG_TEXT", 30)
     for text in [*texts, "Some words, then Others and 12 more."]:
         assert ids(own, text) == known.encode_ordinary(text)
         parts = list(own.decode(own.encode(text)))

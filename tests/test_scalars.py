@@ -100,7 +100,7 @@ def test_risk_and_labels(spark):
 def test_value_and_percent_text(spark):
     rows = [("1234.5",), ("0.25",), ("0",), ("12",), (None,), ("x" * 50,)]
     assert [r[0] for r in values(spark, rows, "v string", X.value_text(c("v")))] == [
-        "1,235", "0.2500", "0.00", "12.00", "unknown", "x" * 37 + "..."]
+        "1,234", "0.2500", "0.00", "12.00", "unknown", "x" * 37 + "..."]
     assert [r[0] for r in values(spark, [(0.5,), (0.015,), (0.0001,)], "v double",
                                  X.percent_text(c("v")))] == ["50.0%", "1.50%", "0.010%"]
 

@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 Words are runs of letters and digits, A-Z lower-cased. Every start of ``SEED_WORDS`` words in a
-test item is a possible seed; of each ``STRETCH`` neighbouring starts the one that the fewest
-documents hold is used, so every part of an item keeps a seed and an edited copy still has some.
-Document frequencies are counted over all documents. Seeds and documents meet in an equi-join;
-a bitmap of fixed size (``SLOTS`` bits) drops most other n-grams before the shuffle, whatever the
-size of the benchmark.
+test item is a seed, however many documents hold it: a copy that keeps any ``SEED_WORDS``
+neighbouring words of an item becomes a candidate, whatever other copies the corpus holds. Seeds
+and documents meet in an equi-join; a bitmap of fixed size (``SLOTS`` bits) drops most other
+n-grams before the shuffle, whatever the size of the benchmark.
 
 Each candidate (document, item) is aligned: match 2, other word -1, gap -1. The score is the
 best local alignment divided by that of the item with itself (0 to 1). Pairs with a score of at
-least ``min_score`` are reported with the aligned words of the document.
+least ``min_score`` are reported with the aligned words of the document. A passage that holds too
+few of an item's words to reach that score is not aligned.
 
 Items of fewer than SEED_WORDS words, null and empty texts match nothing; rows without id are
 left out; equal items are all reported.
@@ -19,14 +19,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.llm.arrays import PUNCTUATION, U, Words, grams, inside, slices
 from auditlens.llm.frames import only_ids, texts, with_ids
 from auditlens.sources.staging import stage
 
-SEED_WORDS, STRETCH, SLOTS = 3, 2, 1 << 20
+SEED_WORDS, SLOTS = 3, 1 << 20
 MATCH, OTHER, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 
@@ -52,27 +52,18 @@ def _slots(seeds: DataFrame) -> np.ndarray:
     return marks
 
 
-def _found(marks: np.ndarray, places: bool):
-    """Task: grams of documents that are in the bitmap; how many documents of a slice have each,
-    or where they are."""
+def _found(marks: np.ndarray):
+    """Task: where the grams of documents that are in the bitmap are."""
 
     def run(batches):
         for _, ids, rows in slices(batches):
             words = _words(rows)
             all_grams = grams(words.hashes, SEED_WORDS)
             at = np.flatnonzero(marks[all_grams & U(SLOTS - 1)] & inside(words.first, len(words.hashes), SEED_WORDS))
-            owner, gram = words.owners()[at], all_grams[at]
-            if places:
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(owner)), pa.array(gram.view(np.int64)), pa.array(at - words.first[owner])],
-                    ["doc_id", "gram", "at"])
-            else:
-                order = np.lexsort((owner, gram))
-                owner, gram = owner[order], gram[order]
-                new = np.ones(len(gram), bool)
-                new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-                value, count = np.unique(gram[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count)], ["gram", "docs"])
+            owner = words.owners()[at]
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(owner)), pa.array(all_grams[at].view(np.int64)), pa.array(at - words.first[owner])],
+                ["doc_id", "gram", "at"])
 
     return run
 
@@ -108,6 +99,9 @@ def _aligned(min_score: float):
                     while shifts and shifts[0] - group[-1] <= size:
                         group.append(shifts.pop(0))
                     low, high = max(0, group[0] - size), min(len(words), group[-1] + 2 * size)
+                    # At most MATCH for each word of the item that the passage holds.
+                    if np.isin(wanted, words[low:high]).sum() < min_score * size:
+                        continue
                     score, end = align(words[low:high], wanted)
                     if score > best[0]:
                         _, back = align(words[low:low + end][::-1], wanted[::-1])
@@ -129,14 +123,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
     an edited one, of a test item."""
     items = with_ids(benchmark.select(F.col("item_id").alias("doc_id"), "text"))
     given = with_ids(docs)
-    item_grams = stage(items.mapInArrow(_all_grams, "item_id long, gram long, place long"), "grams")
-    held = given.mapInArrow(_found(_slots(item_grams), False), "gram long, docs long").groupBy("gram").agg(
-        F.sum("docs").alias("docs"))
-    rarest = Window.partitionBy("item_id", F.floor(F.col("place") / STRETCH)).orderBy("docs", "place", "gram")
-    seeds = stage(
-        item_grams.join(held, "gram").withColumn("rank", F.row_number().over(rarest)).where("rank = 1")
-        .select("gram", "item_id", "place"), "seeds")
-    hits = given.mapInArrow(_found(_slots(seeds), True), "doc_id long, gram long, at long")
+    seeds = stage(items.mapInArrow(_all_grams, "item_id long, gram long, place long"), "seeds")
+    hits = given.mapInArrow(_found(_slots(seeds)), "doc_id long, gram long, at long")
     met = stage(hits.join(seeds, "gram").groupBy("doc_id", "item_id").agg(
         F.collect_set(F.col("at") - F.col("place")).alias("shifts")), "met")
     ids = stage(met.select("doc_id").distinct(), "ids")

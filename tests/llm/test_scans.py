@@ -146,6 +146,15 @@ def test_copies_of_items_are_found_with_their_scores(spark, corpus):
     assert contamination.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_an_edited_copy_is_found_beside_a_verbatim_one(spark):
+    item = [f"word{i}" for i in range(12)]
+    edited = [f"other{i}" if i % 4 == 3 else w for i, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, "before " + " ".join(item)), (2, "ahead " + " ".join(edited) + " behind")], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in contamination.contaminated(docs, bench).collect()}
+    assert got == {1: 1.0, 2: score_of(edited, item)}
+
+
 def test_alignment_is_the_plain_one():
     rng = np.random.default_rng(2)
     for _ in range(40):

@@ -6,15 +6,19 @@ strings cover are removed. Only suffixes that can have a long common prefix are
 1. Each window of ``length`` bytes has an anchor, its smallest hash of ``SEED`` bytes. Equal
    windows have equal anchors at equal distances. Consecutive windows with one anchor are a run;
    runs whose anchor occurs once cannot repeat and go no further (a count and an equi-join).
-2. The bytes of the other runs are fragments. Equal fragments are put together before they are
-   shuffled to buckets by their anchor.
+2. The bytes of the other runs are fragments. Equal fragments of a task are put together before
+   they are shuffled to buckets by their anchor.
 3. In its bucket each fragment is sorted blockwise, with the suffixes at one distance from one
-   anchor as one suffix bucket. A block is at most ``BLOCK_BYTES`` long, which bounds the memory.
+   anchor as one suffix bucket. A block is closed at ``BLOCK_BYTES``; an anchor adds at most
+   ``ANCHOR_FRAGMENTS`` different fragments to it, which bounds the memory.
    Positions whose number modulo ``PERIOD`` is in the difference cover ``COVER`` are ranked by
    their long prefixes first (prefix doubling: as the cover is periodic, a shift by a multiple of
    the period stays in it). Two suffixes are then compared by the few bytes up to a cover position
    of both, the rank there, and the few bytes behind it, however long they agree.
 4. Neighbours of the sorted suffixes that agree on ``length`` bytes are repeats.
+5. An anchor with more different fragments (a common line in ever other contexts) is not gathered:
+   each window of its runs is counted by its 128-bit digest in Spark, and the windows of a run
+   that occur more than once become one span.
 
 Texts of documents without repeated anchors are not shuffled. Null and empty texts have no bytes.
 Rows without doc_id are left as they are. Rows that share a doc_id are rows of one document: a
@@ -24,13 +28,14 @@ span found in one of them is removed from each.
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlens.llm.arrays import _BYTE, U, joined, minimizers, mix, ranges, seeds, slices
+from auditlens.llm.arrays import _BYTE, U, joined, minimizers, mix, ranges, seeds, slices, span_hashes
 from auditlens.llm.frames import only_ids, text_bytes, texts, with_ids
 from auditlens.sources.staging import stage
 
@@ -39,6 +44,9 @@ LENGTH, SEED = 200, 32
 PIECE_BYTES = 8 << 20
 PERIOD, COVER = 8, (0, 1, 2, 4)
 BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 64 << 20, 256
+#: Most different fragments of one anchor that are gathered; a task remembers so many fragments, and
+#: gives so many windows at a time.
+ANCHOR_FRAGMENTS, REMEMBERED, WINDOW_ROWS = 1024, 1 << 16, 1 << 16
 
 
 def cover_distance(one: int, two: int) -> int:
@@ -57,11 +65,12 @@ def seed_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def runs(rows: list[bytes], length: int):
-    """(text, start, windows, distance of the anchor, anchor hash) of all runs of the texts."""
+    """(text, start, windows, distance of the anchor, anchor hash, hash of the bytes) of all runs
+    of the texts."""
     data, offsets = joined(rows)
     count = len(data) - length + 1
     if count <= 0:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U),)
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U),) * 2
     hashes = seed_hashes(data)
     anchors = minimizers(hashes, length - SEED + 1)[:count]
     # A window is good if it ends before the line feed that joined() put behind its text.
@@ -74,7 +83,8 @@ def runs(rows: list[bytes], length: int):
     stop[:-1] &= new[1:] | ~good[1:]
     sizes = np.flatnonzero(stop) + 1 - starts
     owner = np.searchsorted(offsets, starts, "right") - 1
-    return owner, starts - offsets[owner], sizes, anchors[starts] - starts, hashes[anchors[starts]]
+    content = span_hashes(data, starts, starts + sizes + length - 1)
+    return owner, starts - offsets[owner], sizes, anchors[starts] - starts, hashes[anchors[starts]], content
 
 
 def _cut(ids: pa.Array, rows: list[bytes], length: int):
@@ -90,11 +100,11 @@ def _anchors(length: int):
     def run(batches):
         for _, whole_ids, whole in slices(batches):
             for ids, rows, base in _cut(whole_ids, whole, length):
-                owner, start, size, distance, seed = runs(rows, length)
+                owner, start, size, distance, seed, content = runs(rows, length)
                 place = (start + base) << 16 | distance << 8 | (size - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(owner)), pa.array(seed.view(np.int64)), pa.array(place)],
-                    ["doc_id", "seed", "place"])
+                    [ids.take(pa.array(owner)), pa.array(seed.view(np.int64)), pa.array(place), pa.array(content.view(np.int64))],
+                    ["doc_id", "seed", "place", "content"])
 
     return run
 
@@ -104,14 +114,16 @@ def _digest(fragment: bytes) -> bytes:
 
 
 def _fragments(length: int, bucket_count: int, whole: bool):
-    """Task: fragments with their bytes, equal ones of a slice once; or where each one is."""
+    """Task: fragments with their bytes, equal ones of a slice once and of a task seldom more than
+    twice; or where each one is. Those of wide anchors are left to :func:`_windows`."""
 
     def run(batches):
+        given: dict[tuple[int, int, bytes], int] = {}
         for batch, ids, rows in slices(batches):
             found: dict[tuple[int, int, bytes], int] = {}
             docs, starts, digests = [], [], []
             for i, (text, places) in enumerate(zip(rows, batch.column("places").to_pylist(), strict=True)):
-                for seed, place in ((p["seed"], p["place"]) for p in places):
+                for seed, place in ((p["seed"], p["place"]) for p in places if not p["wide"]):
                     start = place >> 16
                     fragment = text[start:start + (place & 255) + length]
                     if whole:
@@ -122,6 +134,15 @@ def _fragments(length: int, bucket_count: int, whole: bool):
                         starts.append(start)
                         digests.append(_digest(fragment))
             if whole:
+                # Only whether there are several counts: what was given twice says so already.
+                for key in list(found):
+                    short = *key[:2], _digest(key[2])
+                    if (before := given.get(short, 0)) > 1:
+                        del found[key]
+                    else:
+                        given[short] = before + found[key]
+                if len(given) > REMEMBERED:
+                    given.clear()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k[0] % bucket_count for k in found], pa.int32()), pa.array([k[0] for k in found], pa.int64()),
                      pa.array([k[1] for k in found], pa.int32()), pa.array([k[2] for k in found], pa.binary()),
@@ -134,6 +155,25 @@ def _fragments(length: int, bucket_count: int, whole: bool):
     return run
 
 
+def _windows(length: int):
+    """Task: each window of the runs with a wide anchor: its document, run, start and digest."""
+
+    def run(batches):
+        for batch, ids, rows in slices(batches):
+            found = (
+                (i, start, at, _digest(text[at:at + length]))
+                for i, (text, places) in enumerate(zip(rows, batch.column("places").to_pylist(), strict=True))
+                for start, windows in ((p["place"] >> 16, (p["place"] & 255) + 1) for p in places if p["wide"])
+                for at in range(start, min(start + windows, len(text) - length + 1)))
+            while part := list(islice(found, WINDOW_ROWS)):
+                docs, first, starts, digests = zip(*part, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(docs, pa.int64())), pa.array(first, pa.int64()), pa.array(starts, pa.int64()),
+                     pa.array(digests, pa.binary())], ["doc_id", "run", "start", "digest"])
+
+    return run
+
+
 def _dense(*keys: np.ndarray) -> np.ndarray:
     """Rank of each tuple of keys among the different ones, the first key counting most."""
     order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
@@ -259,19 +299,43 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length must be from {SEED + 2 * PERIOD} to {SEED + 254}")
     given = with_ids(docs)
     buckets = max(LEAST_BUCKETS, text_bytes(given) // BUCKET_BYTES)
-    anchors = given.mapInArrow(_anchors(length), "doc_id long, seed long, place long")
-    # Written first, so that Spark can split a hot anchor in the join.
-    several = stage(anchors.groupBy("seed").count().where("count > 1").select("seed"), "seeds")
-    places = stage(anchors.join(several, "seed").groupBy("doc_id").agg(
-        F.collect_list(F.struct("seed", "place")).alias("places")), "places")
-    ids = stage(places.select("doc_id"), "ids")
-    held = only_ids(given, ids).join(places, "doc_id").select("doc_id", "text", "places")
+    held, wide = _held(given, length)
     fragments = held.mapInArrow(
         _fragments(length, buckets, True), "bucket int, seed long, distance int, fragment binary, n long")
     repeats = fragments.groupBy("bucket").applyInArrow(_repeats(length), "digest binary, low long, high long")
     spots = held.mapInArrow(_fragments(length, buckets, False), "doc_id long, start long, digest binary")
-    return spots.join(repeats, "digest").select(
+    spans = spots.join(repeats, "digest").select(
         "doc_id", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("end"))
+    if not wide:
+        return spans
+    windows = held.mapInArrow(_windows(length), "doc_id long, run long, start long, digest binary")
+    twice = stage(windows.groupBy("digest").count().where("count > 1").select("digest"), "twice")
+    # The windows of a run start less than a window apart, so those that repeat cover one span.
+    return spans.unionByName(windows.join(twice, "digest").groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), (F.max("start") + length).alias("end")).drop("run"))
+
+
+def _held(given: DataFrame, length: int) -> tuple[DataFrame, bool]:
+    """The texts with runs whose anchor occurs more than once, with these runs; and whether any
+    anchor is wide: has more than ANCHOR_FRAGMENTS different fragments."""
+    anchors = given.mapInArrow(_anchors(length), "doc_id long, seed long, place long, content long")
+    # Written first, so that Spark can split a hot anchor in the join.
+    several = stage(anchors.groupBy("seed").count().where("count > 1"), "seeds")
+    many = several.where(F.col("count") > ANCHOR_FRAGMENTS).select("seed")
+    wide = None
+    if not many.isEmpty():
+        wide = stage(
+            anchors.join(many, "seed").select("seed", "content").distinct().groupBy("seed").count()
+            .where(F.col("count") > ANCHOR_FRAGMENTS).select("seed", F.lit(True).alias("wide")), "wide")
+    if wide is None or wide.isEmpty():
+        wide, several = None, several.select("seed", F.lit(False).alias("wide"))
+    else:
+        several = stage(several.select("seed").join(wide, "seed", "left").select(
+            "seed", F.coalesce("wide", F.lit(False)).alias("wide")), "seeds")
+    places = stage(anchors.drop("content").join(several, "seed").groupBy("doc_id").agg(
+        F.collect_list(F.struct("seed", "place", "wide")).alias("places")), "places")
+    ids = stage(places.select("doc_id"), "ids")
+    return only_ids(given, ids).join(places, "doc_id").select("doc_id", "text", "places"), wide is not None
 
 
 def _kept(batches):

@@ -1,13 +1,16 @@
 """Operators 1, 8 and 9 against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from auditlens.llm import minhash, substrings, suffixes
 from auditlens.llm.queries import QUERIES
+from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SMALL = "/root/testdata/sf0.001"
@@ -99,6 +102,23 @@ def test_suffix_blocks_and_pieces_do_not_change_the_result(docs, corpus, monkeyp
     assert [(len(p[1][0]), p[2]) for p in pieces] == [(1199, 0), (1199, 1000), (500, 2000)]
 
 
+def test_a_common_line_in_ever_other_contexts_is_not_gathered(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "ANCHOR_FRAGMENTS", 10)
+    rng = random.Random(6)
+    line, long = prose(rng, 30)[:120], prose(rng, 80)[:260]
+    rows = [(i, f"{prose(rng, 60)} {line if i % 4 else long} {prose(rng, 60)}") for i in range(48)]
+    rows += [(100 + i, rows[i][1]) for i in range(6)] + [(200, rows[20][1][100:600])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
+           for r in suffixes.remove_repeated(docs).collect()}
+    assert got == kept_bytes(rows, 200)
+    held, wide = suffixes._held(suffixes.with_ids(docs), 200)
+    fragments = held.mapInArrow(
+        suffixes._fragments(200, 4, True), "bucket int, seed long, distance int, fragment binary, n long")
+    most = fragments.groupBy("seed").agg(F.countDistinct("fragment").alias("n")).agg(F.max("n")).first()[0]
+    assert wide and most <= 10
+
+
 def test_cover_brings_any_two_residues_together():
     for i in range(suffixes.PERIOD):
         for j in range(suffixes.PERIOD):

@@ -184,6 +184,41 @@ def value_at_rank(
     return target.found
 
 
+def _tie(df: DataFrame) -> Column:
+    """Number that orders rows with equal keys: a hash of the whole row, NULLs counting."""
+    values = [
+        F.to_json(F.struct(c(f.name))) if "map<" in f.dataType.simpleString() else c(f.name)
+        for f in df.schema.fields
+    ]
+    # 53 bits, so that sketches, which compute in doubles, give it exactly.
+    return F.shiftright(F.xxhash64(*values, *[c(f.name).isNull() for f in df.schema.fields]), 11)
+
+
+def _cut(
+    df: DataFrame, narrow: DataFrame, keys: Sequence[Column], n: int, buffer_rows: int
+) -> tuple[Column, Column, int]:
+    """(kept, tied, left): the first ``n`` rows, NULL keys last, equal keys by ``_tie``, are those
+    with ``kept`` and ``left`` of the rows with ``tied``, which are equal. ``narrow`` has the keys."""
+    kept, tied, left = F.lit(False), F.lit(True), n
+    if n <= 0:
+        return kept, kept, 0
+    for key, rows in [*((key, narrow) for key in keys), (_tie(df), df)]:
+        scope = rows.where(tied)
+        present, absent = _run(scope, [F.count(key), F.count_if(key.isNull())])
+        if left >= present + absent:
+            return kept | tied, F.lit(False), 0
+        if left > present:
+            kept, tied, left = kept | (tied & key.isNotNull()), tied & key.isNull(), left - present
+            continue
+        cut = value_at_rank(scope, key, left - 1, present, buffer_rows=buffer_rows)
+        before, rows_tied = _run(scope, [F.count_if(key < cut), F.count_if(key == cut)])
+        kept = kept | (tied & F.coalesce(key < cut, F.lit(False)))
+        tied, left = tied & F.coalesce(key == cut, F.lit(False)), left - before
+        if rows_tied == left:
+            return kept | tied, F.lit(False), 0
+    return kept, tied, left
+
+
 def first_rows(
     df: DataFrame,
     order: Sequence[str],
@@ -192,33 +227,22 @@ def first_rows(
     sorted_rows: int = SORTED_ROWS,
     buffer_rows: int = BUFFER_ROWS,
 ) -> DataFrame:
-    """First ``n`` rows in ascending order, NULLs last.
+    """First ``n`` rows in ascending order, NULLs last, equal keys by a hash of the row; sorted.
 
-    Small ``n`` sorts. Large ``n`` turns the cut into a filter on the order columns, so that
-    the result stays distributed; only rows that tie on all of them are cut by a limit. The
-    order columns are staged once, so the passes over them do not repeat what ``df`` computes.
+    Small ``n`` is a top-k. Large ``n`` turns the cut into a filter on the same order, so that
+    the result stays distributed; only equal rows are cut by a limit. Both give the same rows.
+    The order columns are staged once, so the passes over them do not repeat what ``df`` computes.
     """
     keys = [rank_key(df, name) for name in order]
+    total_order = [*[c(name).asc_nulls_last() for name in order], _tie(df)]
     if n <= sorted_rows or not keys or any(key is None for key in keys):
-        return df.orderBy(*[c(name).asc_nulls_last() for name in order]).limit(n)
+        return df.orderBy(*total_order).limit(n)
     narrow = stage(df.select(*[c(name) for name in order]), "order")
-    if narrow.count() <= n:
-        return df
-    kept, tied, left = F.lit(False), F.lit(True), n
-    for key in keys:
-        scope = narrow.where(tied)
-        present, absent = _run(scope, [F.count(key), F.count_if(key.isNull())])
-        if left > present:
-            kept, tied, left = kept | (tied & key.isNotNull()), tied & key.isNull(), left - present
-            rows_tied = absent
-        else:
-            cut = value_at_rank(scope, key, left - 1, present, buffer_rows=buffer_rows)
-            before, rows_tied = _run(scope, [F.count_if(key < cut), F.count_if(key == cut)])
-            kept = kept | (tied & F.coalesce(key < cut, F.lit(False)))
-            tied, left = tied & F.coalesce(key == cut, F.lit(False)), left - before
-        if rows_tied == left:
-            return df.where(kept | tied)
-    return df.where(kept).unionByName(df.where(tied & ~kept).limit(left))
+    kept, tied, left = _cut(df, narrow, keys, n, buffer_rows)
+    rows = df.where(kept)
+    if left:
+        rows = rows.unionByName(df.where(tied & ~kept).limit(left))
+    return rows.orderBy(*total_order)
 
 
 def page(
@@ -231,17 +255,15 @@ def page(
     sorted_rows: int = SORTED_ROWS,
     buffer_rows: int = BUFFER_ROWS,
 ) -> DataFrame:
-    """One page by a unique whole-number key, itself sorted.
+    """One page by a whole-number key, itself sorted; NULL keys last, equal keys by a hash of the
+    row.
 
-    A near page is a top-k. For a far one the key at the offset is found by rank selection,
-    so no task ever merges the skipped rows.
+    A near page is a top-k. For a far one the rows before the offset are left out by rank
+    selection on the same order, so no task ever merges the skipped rows. Both give the same page.
     """
-    order = c(key).desc_nulls_last() if descending else c(key).asc_nulls_last()
+    order = [c(key).desc_nulls_last() if descending else c(key).asc_nulls_last(), _tie(df)]
     if offset + limit <= sorted_rows:
-        return df.orderBy(order).offset(offset).limit(limit)
+        return df.orderBy(*order).offset(offset).limit(limit)
     number = -c(key).cast("long") if descending else c(key).cast("long")
-    total = df.agg(F.count(number)).first()[0]
-    if offset >= total:
-        return df.where(F.lit(False))
-    start = value_at_rank(df, number, offset, total, buffer_rows=buffer_rows)
-    return df.where(number >= start).orderBy(order).limit(limit)
+    kept, _, left = _cut(df, df, [number], offset, buffer_rows)
+    return df.where(~kept).orderBy(*order).offset(left).limit(limit)

@@ -61,6 +61,23 @@ def test_far_pages_equal_sorted_pages(spark, descending):
         assert [r[0] for r in got.collect()] == want[offset:offset + 10]
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_pages_and_first_rows_are_the_same_on_both_sides_of_the_size_limit(spark, descending):
+    rows = [(i // 3 if i < 300 else None, f"t{i % 50}", {"a": i % 70}) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, t string, m map<string,int>").repartition(3)
+    sides = (dict(sorted_rows=10_000), dict(sorted_rows=0, buffer_rows=40))
+    seen = []
+    for offset in range(0, 440, 55):
+        near, far = (O.page(df, "id", limit=55, offset=offset, descending=descending, **s).collect() for s in sides)
+        assert near == far and len(near) == max(0, min(55, 400 - offset))
+        seen += [(r["id"], r["t"], r["m"]) for r in far]
+    assert sorted(map(str, seen)) == sorted(map(str, rows))
+    if not descending:
+        for n in (1, 100, 301, 350, 400, 500):
+            near, far = (O.first_rows(df, ["id"], n, **s).collect() for s in sides)
+            assert near == far and len(far) == min(n, 400)
+
+
 # --- joins --------------------------------------------------------------------------------------
 
 

@@ -156,12 +156,16 @@ def minimizers(hashes: np.ndarray, width: int) -> np.ndarray:
     """Place of the leftmost smallest hash of each window of ``width`` hashes.
 
     Which one is smallest depends on the content of the window alone, so equal windows have
-    equal minimizers at equal offsets. At most 2**24 hashes.
+    equal minimizers at equal offsets. Long inputs go piece by piece, as a place has PLACE_BITS bits.
     """
-    assert len(hashes) < 1 << PLACE_BITS
-    places = np.arange(len(hashes), dtype=U)
-    low = U((1 << PLACE_BITS) - 1)
-    return (sliding_min((hashes & ~low) | places, width) & low).astype(np.int64)
+    low, count = U((1 << PLACE_BITS) - 1), len(hashes) - width + 1
+    step = (1 << PLACE_BITS) - width
+    found = [np.zeros(0, np.int64)]
+    for at in range(0, count, step):
+        piece = hashes[at:at + step + width - 1]
+        marked = (piece & ~low) | np.arange(len(piece), dtype=U)
+        found.append((sliding_min(marked, width) & low).astype(np.int64) + at)
+    return np.concatenate(found)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -5,10 +5,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditlens.llm import minhash, substrings, suffixes
+from auditlens.llm import arrays, minhash, substrings, suffixes
 from auditlens.llm.queries import QUERIES
 from tests.llm.conftest import prose
 
@@ -119,6 +120,15 @@ def test_a_common_line_in_ever_other_contexts_is_not_gathered(spark, monkeypatch
     assert wide and most <= 10
 
 
+def test_minimizers_of_long_inputs_are_those_of_short_ones(monkeypatch):
+    hashes = arrays.mix(np.arange(1000, dtype=arrays.U) % arrays.U(37)) & ~arrays.U((1 << 24) - 1)
+    want = arrays.minimizers(hashes, 9)
+    assert want.tolist() == [i + int(hashes[i:i + 9].argmin()) for i in range(992)]
+    monkeypatch.setattr(arrays, "PLACE_BITS", 6)
+    assert arrays.minimizers(hashes, 9).tolist() == want.tolist()
+    assert len(arrays.minimizers(hashes[:8], 9)) == 0
+
+
 def test_cover_brings_any_two_residues_together():
     for i in range(suffixes.PERIOD):
         for j in range(suffixes.PERIOD):

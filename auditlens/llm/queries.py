@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlens.llm import bpe, contamination, language, licences, minhash, secrets, substrings, suffixes, toxicity, vectors
+from auditlens.llm import (
+    bpe, contamination, language, licences, minhash, phrases, secrets, spelling, substrings, suffixes, toxicity, vectors, warc,
+)
 from auditlens.llm.frames import table
 from auditlens.session import tune
 
@@ -237,3 +239,83 @@ def op4_licences(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return licences.scan(docs.select(
         "doc_id", "text", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path")))
+
+
+@query("op11_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+ d AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS h,
+              max(page_id) OVER (PARTITION BY payload) AS top FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(h, 10 * (i // 8) + 1, 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER) + 1, 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to FROM d""")
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.histories(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _variants_sql() -> str:
+    """Near words by equal rests after a deletion; the checksum by its table, built from its rule."""
+    run = "[A-Za-z\u00C0-\u00FF]+"
+    return f"""
+WITH RECURSIVE
+ bits AS (SELECT i AS byte, list_reduce(list_concat([CAST(i AS BIGINT)], range(0, 8)),
+            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS crc FROM range(0, 256) b(i)),
+ tab AS MATERIALIZED (SELECT list(crc ORDER BY byte) AS t FROM bits),
+ r AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{run}')) AS w
+         FROM documents) WHERE length(w) >= {spelling.LEAST_LETTERS} GROUP BY ALL),
+ b AS (SELECT doc_id, w, n, hex(encode(concat(doc_id, ':', w))) AS x FROM r),
+ h AS (SELECT w, n, xor(list_reduce(list_concat([4294967295], list_transform(range(0, length(x) // 2),
+                lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+              lambda c, v: xor(c >> 8, t[CAST(xor(c & 255, v) AS INTEGER) + 1])), 4294967295) AS h FROM b CROSS JOIN tab),
+ c AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % {spelling.LOSES_ONE_OF} = 0
+           THEN concat(substr(w, 1, h % length(w)), substr(w, h % length(w) + 2)) ELSE w END AS word FROM h)
+       WHERE length(word) >= {spelling.LEAST_LETTERS} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+ d AS MATERIALIZED (SELECT word, i, concat(substr(word, 1, i), substr(word, i + 2)) AS rest
+       FROM c, unnest(range(0, length(word))) u(i)),
+ e AS (SELECT a.word AS x, b.word AS y FROM d a JOIN d b USING (i, rest) WHERE a.word <> b.word
+       UNION SELECT d.word, c.word FROM d JOIN c ON c.word = rest
+       UNION SELECT c.word, d.word FROM d JOIN c ON c.word = rest),
+ near AS MATERIALIZED (SELECT x AS word, count(*) AS n_near, arg_min(struct_pack(w := c.word, n := c.n), (-c.n, c.word)) AS top
+         FROM e JOIN c ON c.word = y GROUP BY x),
+ f AS MATERIALIZED (SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN top.n >= {spelling.RATIO} * c.n THEN top.w END AS form,
+              CASE WHEN top.n >= {spelling.RATIO} * c.n THEN top.n END AS form_n FROM c LEFT JOIN near USING (word)),
+ walk AS (SELECT word, word AS root FROM f UNION ALL
+          SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN walk ON walk.word = f.word
+WHERE root IN (SELECT word FROM f WHERE form IS NULL)"""
+
+
+@query("op12_spelling", _variants_sql())
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op13_phrases", f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^ \\x09]+') AS w FROM p),
+ f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS n FROM (
+         SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+         FROM w, unnest([1, 2, 3]) s(size), unnest(range(1, len(w) - size + 2)) u(i)) GROUP BY ALL),
+ total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+ c AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= {phrases.LEAST_COUNT}),
+ cut AS (SELECT c.lang, c.phrase, c.size, a, k, x.n AS l, y.n AS r,
+                (CAST(a AS HUGEINT) * a * 1000000) // (CAST(x.n AS HUGEINT) * y.n) AS score
+         FROM c, unnest(range(1, size)) u(k)
+         JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+         JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+ worst AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ part AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE size = 3),
+ most AS (SELECT lang, phrase, max(a) AS longer FROM part GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, total.n,
+       CAST(score AS BIGINT) AS score
+FROM worst LEFT JOIN most USING (lang, phrase) JOIN total USING (lang)
+WHERE longer IS NULL OR 100 * longer < {phrases.LEAST_SHARE} * a
+QUALIFY rank <= {phrases.TOP}""")
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents")).select(
+        "lang", "rank", "phrase", "a", "l", "r", "n", "score")

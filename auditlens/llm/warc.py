@@ -153,6 +153,10 @@ class Stream:
             data = data[end + len(BLANK):]
             self.parts, self.size, self.need = [data] if data else [], len(data), 1
 
+    def close(self, name: str | None) -> None:
+        if self.size:
+            raise ValueError(f"{name} ends within a record")
+
 
 def url_key(url: str | None) -> str:
     """Sort key of a URL, see the module."""
@@ -199,36 +203,38 @@ def _sorted_run(rows: list[tuple], run: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, _RUN.names)
 
 
-def _runs(batches):
+def _runs(run_rows: int):
     """Task: captures of archives, in sorted runs."""
-    stream, name, rows, count = Stream(), None, [], 0
-    for batch in batches:
-        for file, piece in zip(batch["file"].to_pylist(), batch["piece"].to_pylist(), strict=True):
-            if file != name:
-                if stream.size:
-                    raise ValueError(f"{name} ends within a record")
-                if rows:
-                    yield _sorted_run(rows, f"{name}#{count}".encode())
-                stream, name, rows, count = Stream(), file, [], 0
-            for fields, block in stream.feed(piece):
-                rows.append(_capture(fields, block))
-                if len(rows) >= RUN_ROWS:
-                    yield _sorted_run(rows, f"{name}#{count}".encode())
-                    rows, count = [], count + 1
-    if stream.size:
-        raise ValueError(f"{name} ends within a record")
-    if rows:
-        yield _sorted_run(rows, f"{name}#{count}".encode())
-
-
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
+
+    def run(batches):
+        stream, name, rows, count = Stream(), None, [], 0
+        for batch in batches:
+            for file, piece in zip(batch["file"].to_pylist(), batch["piece"].to_pylist(), strict=True):
+                if file != name:
+                    if rows:
+                        yield _sorted_run(rows, f"{name}#{count}".encode())
+                    stream.close(name)
+                    stream, name, rows, count = Stream(), file, [], 0
+                for fields, block in stream.feed(piece):
+                    rows.append(_capture(fields, block))
+                    if len(rows) >= run_rows:
+                        yield _sorted_run(rows, f"{name}#{count}".encode())
+                        rows, count = [], count + 1
+        stream.close(name)
+        if rows:
+            yield _sorted_run(rows, f"{name}#{count}".encode())
+
+    return run
+
+
+def read_runs(spark: SparkSession, path: str, run_rows: int = RUN_ROWS) -> DataFrame:
     """Sorted runs of the captures in all archives of a folder: the fields of CAPTURE, run, place.
     Revisits have no size and digest yet."""
     pieces = spark.read.option("lineSep", BLANK).text(path).select(
         F.col("_metadata.file_name").alias("file"), F.col("value").cast("binary").alias("piece"))
     texts = [f.name for f in _RUN if pa.types.is_string(f.type)]
     raw = ", ".join(f"{f.name} {'binary' if f.name in texts else 'long'}" for f in _RUN)
-    return pieces.mapInArrow(_runs, raw).select(
+    return pieces.mapInArrow(_runs(run_rows), raw).select(
         *[F.col(f.name).cast("string").alias(f.name) if f.name in texts else F.col(f.name) for f in _RUN])
 
 
@@ -307,11 +313,11 @@ def _merged(batches):
         yield from out.append_column("number", pa.array(numbers[begin:begin + len(some)], pa.int64())).combine_chunks().to_batches()
 
 
-def merged(captures: DataFrame) -> DataFrame:
+def merged(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All captures with ``position`` (from 1, over all archives, in the order of URL key, time and
     page) and ``capture_no`` (from 1, within the URL key)."""
     captures = stage(captures, "captures")
-    ranges = max(1, -(-captures.count() // RANGE_ROWS))
+    ranges = max(1, -(-captures.count() // range_rows))
     bounds = ["url_key", "captured", "page_id", "record_id", "run", "place"]
     pieces = captures.repartitionByRange(ranges, *bounds).sortWithinPartitions("run", "place")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in captures.schema if f.name not in ("run", "place"))
@@ -331,14 +337,14 @@ def merged(captures: DataFrame) -> DataFrame:
         (F.col("before") + F.col("place") + 1).alias("position"), number.alias("capture_no"))
 
 
-def histories(pages: DataFrame, path: str | None = None) -> DataFrame:
+def histories(pages: DataFrame, path: str | None = None, run_rows: int = RUN_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Write the archives of all pages (to ``path``, or a staged folder), read them back and merge
     their index: page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, captured,
     record_id, position, capture_no."""
     spark = pages.sparkSession
     path = path or f"{staging_root(spark)}/archives-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    runs = stage(read_runs(spark, path), "runs")
-    return merged(resolved(runs)).select(
+    runs = stage(read_runs(spark, path, run_rows), "runs")
+    return merged(resolved(runs), range_rows).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "record_id",
         "position", "capture_no")

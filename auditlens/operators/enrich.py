@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditlens import fixed
 from auditlens.functions.payload import has_business_data, payload_amount, payload_ids
 from auditlens.functions.scalars import c
+from auditlens.operators.summaries import extreme_rows
 from auditlens.sources.catalog import Catalog
 
 # --- Fixed values: lookup tables, their name column and the payload keys that refer to them
@@ -84,15 +85,24 @@ def attach_payload(
     *,
     id_column: str = "id",
     key_column: str = "fk_dak",
+    one_page: bool = False,
 ) -> DataFrame:
-    """Stored payload by row id; rows without business data take the rebuilt one by key."""
+    """Stored payload by row id; rows without business data take the rebuilt one by key.
+
+    With ``one_page`` the caller vouches that ``payloads`` and ``rebuilt`` hold the rows of one
+    page at most; these are sent to the rows instead of being shuffled.
+    """
     stored = payloads.select(c(id_column), c("payload").alias("__stored"))
+    if one_page:
+        stored = F.broadcast(stored)
     df = anomalies.join(stored, id_column, "left")
     fallback = F.create_map(F.lit("fk_dak"), c(key_column).cast("string"))
     payload = F.coalesce(F.col("__stored"), fallback)
     if rebuilt is None:
         return df.withColumn("payload", payload).drop("__stored")
     source = rebuilt.select(c("record_key").alias("__key"), c("payload").alias("__rebuilt"))
+    if one_page:
+        source = F.broadcast(source)
     df = df.join(source, c(key_column) == F.col("__key"), "left")
     best = F.when(has_business_data(payload), payload).otherwise(
         F.coalesce(F.col("__rebuilt"), payload))
@@ -100,22 +110,20 @@ def attach_payload(
 
 
 def first_row_per_key(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """First row of each key by an order column, NULLs last.
-
-    An aggregate and not a window: each task reduces its own rows, so a hot key is no burden.
-    """
-    row = F.struct(*[c(n) for n in df.columns])
-    by = F.struct(c(order).isNull(), c(order)) if order else F.lit(0)
-    first = df.where(c(key).isNotNull()).groupBy(c(key).alias("__key")).agg(
-        F.min_by(row, by).alias("r"))
-    return first.select("r.*")
+    """First row of each key by an order column, NULLs last; see :func:`extreme_rows`."""
+    return extreme_rows(df.where(c(key).isNotNull()), [key], [order] if order else [], first=True)
 
 
 def rebuild_payload(
-    keys: DataFrame, catalog: Catalog, tables: Sequence[str], key_column: str = "record_key"
+    keys: DataFrame, catalog: Catalog, tables: Sequence[str], key_column: str = "record_key",
+    *, listed: Sequence[int] | None = None,
 ) -> DataFrame:
     """Payload of each wanted record key from the sources: per table the first row by id, all
-    its columns as ``table.column``. Keys without any row are left out."""
+    its columns as ``table.column``. Keys without any row are left out.
+
+    ``listed`` names the keys of one page. They are then part of the filter of each source, which
+    skips what holds none of them, and no source is shuffled.
+    """
     out = keys.where(c(key_column) > 0).select(c(key_column).cast("long").alias("record_key"))
     out = out.distinct()
     pieces = []
@@ -124,7 +132,10 @@ def rebuild_payload(
         own_key = "id" if table == fixed.BASE_TABLE and "id" in df.columns else "fk_dak"
         if own_key not in df.columns:
             continue
-        wanted = df.join(out, c(own_key).cast("long") == F.col("record_key"), "left_semi")
+        if listed is None:
+            wanted = df.join(out, c(own_key).cast("long") == F.col("record_key"), "left_semi")
+        else:
+            wanted = df.where(c(own_key).isin(*listed))
         first = first_row_per_key(wanted, own_key, "id" if "id" in df.columns else None)
         piece = f"__{table}"
         cells = first.select(

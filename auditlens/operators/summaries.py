@@ -91,13 +91,34 @@ def run_counters(
     )
 
 
+def extreme_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, first: bool = False
+) -> DataFrame:
+    """One row per group: the one of highest (or first: lowest) order, NULLs last either way.
+
+    Late: a hash aggregate sees the keys and the leading order column alone; only rows that hold
+    the extreme value of their group are then read in full. Those of one group that still tie are
+    settled by the other order columns. A hot group is reduced where its rows are, and its join
+    with one row is split.
+    """
+    best = F.min if first else F.max
+    at, lead = [f"__{i}" for i in range(len(keys))], order[0] if order else None
+    groups = df.groupBy(*[c(k).alias(a) for k, a in zip(keys, at, strict=True)])
+    rows = df
+    if lead is not None:
+        tops = groups.agg(best(c(lead)).alias("__lead"))
+        meet = [c(k).eqNullSafe(F.col(a)) for k, a in zip(keys, at, strict=True)]
+        rows = df.join(tops, [*meet, c(lead).eqNullSafe(F.col("__lead"))], "left_semi")
+    by = F.struct(*[x for o in order[1:] for x in ((c(o).isNull(), c(o)) if first else (c(o),))] or [F.lit(0)])
+    pick = F.min_by if first else F.max_by
+    one = rows.groupBy(*[c(k).alias(a) for k, a in zip(keys, at, strict=True)]).agg(
+        pick(F.struct(*[c(n) for n in df.columns]), by).alias("r"))
+    return one.select("r.*")
+
+
 def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Row with the highest order per group. An aggregate, so a hot group is reduced where
-    its rows are."""
-    last = df.groupBy(*[c(k).alias(f"__{i}") for i, k in enumerate(keys)]).agg(
-        F.max_by(F.struct(*[c(n) for n in df.columns]), F.struct(*[c(o) for o in order])).alias("r")
-    )
-    return last.select("r.*")
+    """Row with the highest order per group, see :func:`extreme_rows`."""
+    return extreme_rows(df, keys, order)
 
 
 def run_report(runs: DataFrame, anomalies: DataFrame, run_id: int) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlens import fixed
@@ -20,6 +20,7 @@ from auditlens.operators.filters import anomaly_filter, anomaly_list_filter, run
 from auditlens.operators.ordering import page
 from auditlens.operators.summaries import dataset_summary, list_summary, money, table_options
 from auditlens.sources.catalog import Catalog
+from auditlens.sources.staging import stage
 
 # --- Fixed values: columns a page needs ---------------------------------------------------
 PAGE_COLUMNS = (
@@ -50,6 +51,12 @@ def anomaly_page(
     return page(kept, "id", limit=rows, offset=max(0, int(offset or 0)), descending=True)
 
 
+def stored_sentence(df: DataFrame, signals: Column) -> Column:
+    """The sentence that the run has stored, made from the signals only where there is none."""
+    made = reason_sentence(signals)
+    return F.coalesce(c("ml_reason"), made) if "ml_reason" in df.columns else made
+
+
 def to_prediction(df: DataFrame) -> DataFrame:
     """Prediction records: flags, scores, feedback and all reasons of an anomaly row."""
     by_rule, by_model = truthy(c("user_rule")), truthy(c("isolation_rule"))
@@ -59,7 +66,7 @@ def to_prediction(df: DataFrame) -> DataFrame:
     signals = F.when(by_model, values["signals"]) if values is not None else None
     sentence = F.lit(None).cast("string")
     if signals is not None:
-        sentence = F.when(F.size(signals) > 0, reason_sentence(signals))
+        sentence = F.when(F.size(signals) > 0, stored_sentence(df, signals))
     builtin = F.nullif(F.trim(c("builtin_reason")), F.lit("")) if "builtin_reason" in has \
         else F.lit(None).cast("string")
     named = F.when(c("user_rule_name") != "", c("user_rule_name"))
@@ -100,6 +107,10 @@ def latest_run(runs: DataFrame, dataset: str | None = None) -> int | None:
     return kept.agg(F.max("run_id")).first()[0]
 
 
+#: A page of at most so many rows looks its payloads up by ids that are part of the plan.
+LOOKUP_ROWS = 2_000
+
+
 def review_rows(
     anomalies: DataFrame,
     *,
@@ -107,28 +118,42 @@ def review_rows(
     filter_name: str = "all",
     limit: int | None = None,
     offset: int = 0,
-    payloads: DataFrame | None = None,
+    payloads: DataFrame | Callable[[Sequence[int]], DataFrame] | None = None,
     catalog: Catalog | None = None,
     tables: Sequence[str] = (),
     lookups: Mapping[str, DataFrame] | None = None,
 ) -> Review:
     """One page of predictions with payload and names, and totals over all filtered rows.
 
-    Only the page is enriched. Payloads without business data are rebuilt from the sources.
+    The page is found without payloads and written once. Its ids then filter the payloads - a
+    frame, or a function of ids such as :meth:`ResultStore.rows_of`; by default the column of the
+    anomalies, within the runs of the page - so that files and row groups without one of them are
+    skipped and no payload is shuffled. Payloads without business data are rebuilt from the
+    sources in the same way. A page of more than LOOKUP_ROWS rows, if somebody asks for one, gets
+    the same rows by joins.
     """
     size, start = max(1, int(limit or fixed.PAGE_SIZE)), max(0, int(offset or 0))
-    rows = to_prediction(review_page(anomalies, filter_name, run_id, size, start))
-    if "payload" in rows.columns and payloads is None:
-        payloads = rows.select(c("prediction_id").alias("id"), "payload").where(
-            c("payload").isNotNull())
-        rows = rows.drop("payload")
+    narrow = anomalies.drop("payload")
+    rows = stage(to_prediction(review_page(narrow, filter_name, run_id, size, start)), "page")
+    small = size <= LOOKUP_ROWS
+    ids = [r[0] for r in rows.select("prediction_id").collect()] if small else None
+    if payloads is None and "payload" in anomalies.columns:
+        payloads = anomalies.select("id", "ml_run_id", "payload")
+        if small:
+            runs = [r[0] for r in rows.select("ml_run_id").distinct().collect()]
+            payloads = payloads.where(c("ml_run_id").isin(runs))
+        payloads = payloads.where(c("payload").isNotNull()).select("id", "payload")
     if payloads is not None:
+        if callable(payloads):
+            payloads = payloads(ids if small else [r[0] for r in rows.select("prediction_id").collect()])
+        stored = payloads.where(c("id").isin(ids)) if small else payloads
+        stored = stored.select(c("id").alias("prediction_id"), "payload")
         rebuilt = None
         if catalog is not None and tables:
-            keys = rows.select(c("fk_dak").alias("record_key"))
-            rebuilt = rebuild_payload(keys, catalog, tables)
-        stored = payloads.withColumnRenamed("id", "prediction_id")
-        rows = attach_payload(rows, stored, rebuilt, id_column="prediction_id")
+            keys = rows.select(c("fk_dak").cast("long").alias("record_key"))
+            listed = [r[0] for r in keys.where("record_key > 0").distinct().collect()] if small else None
+            rebuilt = rebuild_payload(keys, catalog, tables, listed=listed)
+        rows = attach_payload(rows, stored, rebuilt, id_column="prediction_id", one_page=small)
         rows = enrich_names(rows, lookups or {})
         rows = rows.withColumn("amount", payload_amount(c("payload")))
     return Review(rows.orderBy("prediction_id"),
@@ -153,7 +178,7 @@ def anomaly_rows_view(df: DataFrame) -> DataFrame:
     sentence = F.lit(None).cast("string")
     if "feature_values" in df.columns:
         signals = c("feature_values")["signals"]
-        sentence = F.when(by_model & (F.size(signals) > 0), reason_sentence(signals))
+        sentence = F.when(by_model & (F.size(signals) > 0), stored_sentence(df, signals))
     return df.select(
         "id", "fk_dak",
         norm_key(c("selected_tables")).alias("table_key"),

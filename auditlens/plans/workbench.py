@@ -28,7 +28,7 @@ from auditlens.operators.user_rules import apply_user_rules
 from auditlens.plans.request import RunRequest
 from auditlens.sources.catalog import Catalog
 from auditlens.sources.results import ResultStore
-from auditlens.sources.staging import spread, stage
+from auditlens.sources.staging import spread, stage, staging_scope
 
 RULE_COLUMNS = (
     "user_rule_flag", "user_rule_reasons", "sql_rule_flag", "sql_rule_reasons",
@@ -127,14 +127,24 @@ def run_workbench(
     keep_rule_rows: bool = False,
     dataset_defaults: bool = True,
 ) -> dict:
-    """Run a request and store its anomalies and its record. Returns the record."""
+    """Run a request and store its anomalies, related keys and record as one unit. Returns the
+    record. Nothing that was staged on the way remains."""
+    with staging_scope(store.spark):
+        return _run(catalog, request, model, store, keep_rule_rows, dataset_defaults)
+
+
+def _run(
+    catalog: Catalog, request: RunRequest, model: Model, store: ResultStore, keep_rule_rows: bool,
+    dataset_defaults: bool,
+) -> dict:
     warnings: list[str] = []
     if dataset_defaults:
         request, warnings = request.with_dataset_defaults()
     flagged = flag_rows(catalog, request)
     warnings += flagged.warnings
     rows = stage(flagged.rows, "flagged")
-    run_id = store.next_run_id()
+    writer = store.begin()
+    run_id = writer.run_id
     base = {
         "run_id": run_id, "run_name": request.run_name, "source_tables": list(request.tables),
         "join_config": [astuple(j) for j in request.joins],
@@ -157,7 +167,7 @@ def run_workbench(
             raise ValueError("The selected join returned no rows.")
         warnings.append("No rows in the selected window.")
         record = {**base, "metrics": {**metrics, "warnings": "\n".join(warnings)}}
-        store.write_run(record)
+        writer.commit(record)
         return {**record, "amount_total": 0.0}
 
     dense = drop_sparse(rows, keep=RULE_COLUMNS)
@@ -183,14 +193,13 @@ def run_workbench(
         flagged.feature_names)
     # Before the write: an amount column that is not there must not leave anomalies behind.
     amount = amount_total(found, request.amount_field).first()[0]
-    written = store.write_anomalies(
+    written = writer.write_anomalies(
         build_anomalies(spread(found), request, model, run_id, payload, signals))
     told = stage(found.select(F.explode("sql_rule_evidence").alias("e")).select(
         *[F.col("e")[n].alias(n) for n in INVOICE]).distinct(), "invoices")
     for keys in flagged.duplicates:
-        store.write_related(
-            related_keys(catalog.table(keys.table), keys).join(told, list(INVOICE), "left_semi"),
-            run_id)
+        writer.write_related(
+            related_keys(catalog.table(keys.table), keys).join(told, list(INVOICE), "left_semi"))
     record = {
         **base, "total_rows": total, "user_rule_count": by_model["user_rule_count"],
         "ml_anomaly_count": by_model["ml_anomaly_count"],
@@ -199,5 +208,5 @@ def run_workbench(
                     "new_rows_written": str(written["appended_row_count"]),
                     "result_row_count": str(written["row_count"])},
     }
-    store.write_run(record)
+    writer.commit(record)
     return {**record, "amount_total": amount}

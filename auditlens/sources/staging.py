@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
+#: Folders that the innermost open :func:`staging_scope` removes.
+_scope: ContextVar[list[str] | None] = ContextVar("staging_scope", default=None)
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -28,15 +33,35 @@ def staging_root(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write the frame as Parquet under the staging root and read it back."""
     path = f"{staging_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if (opened := _scope.get()) is not None:
+        opened.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all that is in it; a missing one is no error."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear_staging(spark: SparkSession) -> None:
     """Remove all that the application has staged. Frames that read it are of no use then."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(staging_root(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    remove(spark, staging_root(spark))
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end, also after an error, what is staged within; for flows that return
+    values or write their result elsewhere."""
+    token = _scope.set([])
+    try:
+        yield
+    finally:
+        staged = _scope.get()
+        _scope.reset(token)
+        for path in staged:
+            remove(spark, path)
 
 
 def spread(staged: DataFrame, columns: DataFrame | None = None) -> DataFrame:

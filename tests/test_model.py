@@ -198,7 +198,7 @@ def test_empty_join_needs_an_earlier_result(spark, model, tmp_path):
     with pytest.raises(ValueError, match="no rows"):
         run_workbench(tables(spark), RunRequest(["bill"], to_date="1990-01-02"), model, store)
     with pytest.raises(ValueError, match="required columns"):
-        store.write_anomalies(spark.range(1))
+        store.begin().write_anomalies(spark.range(1))
 
 
 def test_rows_dropped_by_the_contract(spark, model, tmp_path):

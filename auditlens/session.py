@@ -12,7 +12,7 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Rows that go to Python are bounded by their size, as texts may be long.
-    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "1m",
 }
 
 

@@ -13,6 +13,7 @@ first in the alphabet. Without any labelled document all texts are ``und`` with
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -152,17 +153,19 @@ def fit(docs: DataFrame) -> Network | None:
     return train(languages, cells, labels)
 
 
-def _applied(net: Network | None, text: str, letters: str, names: list[str], added: tuple[str, str]):
-    def run(batches):
+def _guessed(net: Network | None):
+    """Function of batches of texts, null where there is no letter, to languages and scores."""
+
+    def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.column(text).cast(pa.binary()).to_pylist()
+            texts = batch.cast(pa.binary())
             langs, scores = [UNKNOWN] * len(texts), [1.0] * len(texts)
-            rows = [i for i, ok in enumerate(batch.column(letters).to_pylist()) if ok]
+            rows = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False)).tolist()
             at = 0
             while at < len(rows):
                 group, size = [], 0
                 while at < len(rows) and (not group or size < 1 << 18):
-                    group.append(windows_of(texts[rows[at]]))
+                    group.append(windows_of(texts[rows[at]].as_py()))
                     size += group[-1].size
                     at += 1
                 owners = rows[at - len(group):at]
@@ -176,18 +179,17 @@ def _applied(net: Network | None, text: str, letters: str, names: list[str], add
                 for i, mean in zip(owners, means, strict=True):
                     best = int(mean.argmax())
                     langs[i], scores[i] = net.languages[best], float(min(1.0, mean[best]))
-            kept = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                [*names, *added])
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    return run
+    # Not deterministic for the optimizer: a filter on the result must not guess anew.
+    return F.arrow_udf(guess, "lang string, score double").asNondeterministic()
 
 
 def predict(docs: DataFrame, net: Network | None, columns: list[str],
             added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The given columns of each row, then the language and its score. Map-side only."""
+    """The given columns of each row, then the language and its score. Map-side only: texts alone
+    go to Python, and only the results come back. Repeated rows get the same result each."""
     text = F.col("text").cast("string")
-    shown = docs.select(*columns, text.alias("__text"), has_letter(text).alias("__letters"))
-    schema = shown.select(*columns).schema.add(added[0], "string").add(added[1], "double")
-    return shown.mapInArrow(_applied(net, "__text", "__letters", columns, added), schema)
+    known = _guessed(net)(F.when(has_letter(text), text))
+    shown = docs.select(*columns, known.alias("__guess"))
+    return shown.select(*columns, F.col("__guess.lang").alias(added[0]), F.col("__guess.score").alias(added[1]))

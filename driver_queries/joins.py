@@ -237,3 +237,32 @@ def deep_page(t: Tables):
                 offset=12_000, sorted_rows=10_000, buffer_rows=5_000)
 
 
+
+
+FAMILY = ("CASE WHEN column_type IN ('DATE', 'TIMESTAMP') THEN 'datetime' WHEN column_type = 'BOOLEAN' THEN 'boolean' "
+          "WHEN column_type = 'VARCHAR' THEN 'text' ELSE 'numeric' END")
+
+
+@query("merged_schema", " UNION ALL ".join(
+    f"SELECT '{n}' AS source_table, column_name, concat('{n}_', column_name) AS model_column, {FAMILY} AS family "
+    f"FROM (DESCRIBE SELECT * FROM {n})" for n in ("orders", "lineitem", "events")))
+def merged_schema_of_tables(t: Tables):
+    from auditlens.sources.catalog import Catalog, merged_schema
+
+    names = ["orders", "lineitem", "events"]
+    return merged_schema(Catalog({n: getattr(t, n) for n in names}), names)
+
+
+@query("csv_source", "SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders")
+def csv_source(t: Tables):
+    """All orders through CSV files with a header and an export column, read with a schema."""
+    import uuid
+
+    from auditlens.sources.catalog import read_csv_source
+    from auditlens.sources.staging import staging_root
+
+    path = f"{staging_root(t.spark)}/orders-{uuid.uuid4().hex}"
+    kept = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", c("o_orderdate").cast("date").alias("o_orderdate"), "o_orderpriority")
+    rows = kept.select(F.lit("SET").alias("SET"), "*")
+    rows.write.option("header", True).csv(path)
+    return read_csv_source(t.spark, path, rows.schema)

@@ -18,19 +18,27 @@ def plain_key(key: Column) -> Column:
 
 
 def _named(payload: Column, aliases, usable) -> Column:
-    """Usable payload values whose key or column part is one of the aliases, with that alias."""
+    """Usable values whose key or column part is one of the aliases: two arrays, the aliases and
+    the values, those of exact keys first. Built once per row, then read by alias."""
     entries = F.transform(F.map_entries(payload), lambda e: F.struct(
         F.when(F.lower(e["key"]).isin(*aliases), F.lower(e["key"])).otherwise(
             plain_key(e["key"])).alias("alias"),
-        e["value"].alias("value")))
-    return F.filter(entries, lambda e: e["alias"].isin(*aliases) & usable(e["value"]))
+        e["value"].alias("value"), e["key"].isin(*aliases).alias("exact")))
+    kept = F.filter(entries, lambda e: e["alias"].isin(*aliases) & usable(e["value"]))
 
+    def arrays(found: Column) -> Column:
+        return F.struct(found["alias"].alias("aliases"), found["value"].alias("values"))
 
-def _first(payload: Column, entries: Column, alias: str, usable) -> Column:
+    def exact_first(found: Column) -> Column:
+        return bind(F.concat(F.filter(found, lambda e: e["exact"]), F.filter(found, lambda e: ~e["exact"])), arrays)
+
+    return bind(kept, exact_first)
+
+
+def _first(found: Column, alias: str) -> Column:
     """Value under the exact key, else under the first key whose column part matches."""
-    exact = F.try_element_at(payload, F.lit(alias))
-    at = F.array_position(entries["alias"], F.lit(alias)).cast("int")
-    return F.coalesce(F.when(usable(exact), exact), F.get(entries["value"], at - 1))
+    at = F.array_position(found["aliases"], F.lit(alias)).cast("int")
+    return F.get(found["values"], at - 1)
 
 
 def payload_values(
@@ -48,7 +56,7 @@ def payload_values(
 
     def fields(found: Column) -> Column:
         return F.struct(*[
-            F.coalesce(*[_first(payload, found, a, usable) for a in aliases]).alias(name)
+            F.coalesce(*[_first(found, a) for a in aliases]).alias(name)
             for name, aliases in wanted.items()])
 
     return bind(_named(payload, every, usable), fields)
@@ -65,7 +73,7 @@ def payload_ids(payload: Column, keys) -> Column:
         return value != ""
 
     def ids(found: Column) -> Column:
-        numbers = {k: float_of(_first(payload, found, k, usable)).cast("long") for k in keys}
+        numbers = {k: float_of(_first(found, k)).cast("long") for k in keys}
         return F.struct(*[F.when(n > 0, n).alias(k) for k, n in numbers.items()])
 
     return bind(_named(payload, keys, usable), ids)
@@ -77,7 +85,7 @@ def payload_amount(payload: Column) -> Column:
         return value != ""
 
     def amount(found: Column) -> Column:
-        texts = F.array(*[_first(payload, found, key, usable) for key in fixed.AMOUNT_KEYS])
+        texts = F.array(*[_first(found, key) for key in fixed.AMOUNT_KEYS])
         return F.get(F.filter(F.transform(texts, float_of), lambda n: n != 0), 0)
 
     return F.coalesce(bind(_named(payload, fixed.AMOUNT_KEYS, usable), amount), F.lit(0.0))
@@ -93,7 +101,7 @@ def page_amount(payload: Column) -> Column:
     """Amount on a review page: exact keys first, then any key ending in one; zero counts."""
     exact = [float_of(F.try_element_at(payload, F.lit(key))) for key in fixed.AMOUNT_KEYS]
     named = _named(payload, fixed.AMOUNT_KEYS, lambda value: float_of(value).isNotNull())
-    return F.coalesce(*exact, float_of(F.get(named, 0)["value"]), F.lit(0.0))
+    return F.coalesce(*exact, float_of(F.get(named["values"], 0)), F.lit(0.0))
 
 
 def entity_type(payload: Column) -> Column:

@@ -136,34 +136,52 @@ def fit_forest(
 
 
 class Scorer:
-    """Forest packed into flat arrays, ready to broadcast."""
+    """Forest as full binary trees in level order, ready to broadcast.
+
+    Node i has its children at 2 i + 1 and 2 i + 2, so a step needs no links; a leaf above the last
+    level is repeated below. A block of rows walks one tree at a time, all rows a level at once:
+    the tree and the block both stay in the cache.
+    """
 
     def __init__(self, trees: pd.DataFrame, tree_rows: int):
         self.count = len(trees)
-        self.depth = 0
-        starts = np.cumsum([0, *[len(f) for f in trees["feature"]]])
-        self.roots = starts[:-1].astype(np.int32)
-        self.feature = np.concatenate(trees["feature"].to_list()).astype(np.int32)
-        self.threshold = np.concatenate(trees["threshold"].to_list()).astype(float)
-        self.left = np.concatenate([np.asarray(x) + s for x, s in zip(trees["left"], starts)])
-        self.right = np.concatenate([np.asarray(x) + s for x, s in zip(trees["right"], starts)])
-        self.left, self.right = self.left.astype(np.int32), self.right.astype(np.int32)
-        self.path = np.concatenate(trees["path"].to_list()).astype(float)
         self.depth = math.ceil(math.log2(max(tree_rows, 2)))
         self.scale = self.count * float(average_path(tree_rows)) or 1.0
-
-    def score(self, values: np.ndarray, block: int = 512) -> np.ndarray:
+        self.feature = np.zeros((self.count, (1 << self.depth) - 1), np.int32)
+        self.threshold = np.zeros((self.count, (1 << self.depth) - 1))
+        self.path = np.zeros((self.count, 1 << self.depth))
+        for k, tree in enumerate(trees.itertuples()):
+            feature, threshold, left, right, path = (
+                np.asarray(getattr(tree, n)) for n in ("feature", "threshold", "left", "right", "path"))
+            nodes = np.zeros(1, np.int64)
+            for level in range(self.depth):
+                place = slice((1 << level) - 1, (2 << level) - 1)
+                self.feature[k, place] = np.maximum(feature[nodes], 0)
+                self.threshold[k, place] = threshold[nodes]
+                nodes = np.stack((left[nodes], right[nodes]), 1).ravel().astype(np.int64)
+            self.path[k] = path[nodes]
+
+    def score(self, values: np.ndarray, block: int = 8192) -> np.ndarray:
         """Anomaly score in (0, 1] per row of ``values``."""
         out = np.empty(len(values))
         for start in range(0, len(values), block):
-            part = values[start:start + block]
-            flat = np.ascontiguousarray(part).ravel()
-            base = (np.arange(len(part)) * part.shape[1])[:, None]
-            node = np.broadcast_to(self.roots, (len(part), self.count))
-            for _ in range(self.depth):
-                go_left = flat[base + self.feature[node]] <= self.threshold[node]
-                node = np.where(go_left, self.left[node], self.right[node])
-            out[start:start + block] = 2.0 ** (-self.path[node].sum(axis=1) / self.scale)
+            part = np.ascontiguousarray(values[start:start + block], float)
+            flat, n = part.ravel(), len(part)
+            base = np.arange(n) * part.shape[1]
+            total, node, place = np.zeros(n), np.empty(n, np.int64), np.empty(n, np.int64)
+            value, limit, leaf = np.empty(n), np.empty(n), np.empty(n)
+            for feature, threshold, path in zip(self.feature, self.threshold, self.path, strict=True):
+                node[:] = 0
+                for _ in range(self.depth):
+                    np.add(base, feature.take(node), out=place)
+                    flat.take(place, out=value, mode="clip")
+                    threshold.take(node, out=limit, mode="clip")
+                    node *= 2
+                    node += 2
+                    node -= value <= limit
+                node -= len(feature)
+                total += path.take(node, out=leaf, mode="clip")
+            out[start:start + block] = 2.0 ** (-total / self.scale)
         return out
 
 

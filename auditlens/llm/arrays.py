@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 SLICE_BYTES = 1 << 18
@@ -66,15 +67,17 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES):
     bytes, a null text as an empty one.
     """
     for batch in batches:
-        texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        first = size = 0
-        for i, text in enumerate(texts):
-            if i > first and size + len(text) > limit:
-                yield batch.slice(first, i - first), batch.column("doc_id")[first:i], texts[first:i]
-                first, size = i, 0
-            size += len(text)
-        if first < len(texts):
-            yield batch.slice(first), batch.column("doc_id")[first:], texts[first:]
+        column = batch.column("text").cast(pa.binary())
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
+        first = 0
+        while first < len(column):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + limit, "right")))
+            texts = [t or b"" for t in column[first:last].to_pylist()]
+            yield batch.slice(first, last - first), batch.column("doc_id")[first:last], texts
+            first = last
+    # A worker that waits for its next task gives back what this one held.
+    pa.default_memory_pool().release_unused()
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -39,7 +39,7 @@ from auditlens.sources.staging import stage
 
 REPEATS, LEFT, LEFT_ROWS, RIGHT, RIGHT_ROWS = 3, 6, 3, 4, 2
 #: Members drawn of a component; documents of a tile; columns of a matrix at a time.
-DRAWN, TILE, COLUMNS = 8, 256, 16384
+DRAWN, TILE, COLUMNS = 8, 256, 4096
 #: Texts of which a task remembers the sets.
 KNOWN_BYTES = 4 << 20
 MINHASHES = REPEATS * (LEFT * LEFT_ROWS + RIGHT * RIGHT_ROWS)

@@ -11,6 +11,9 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a row group of a staged table: what a writing task holds in memory.
+ROW_GROUP_BYTES = 16 << 20
+
 _own_folder: dict[str, str] = {}
 #: Folders that the innermost open :func:`staging_scope` removes.
 _scope: ContextVar[list[str] | None] = ContextVar("staging_scope", default=None)
@@ -35,7 +38,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{staging_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     if (opened := _scope.get()) is not None:
         opened.append(path)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,6 +12,7 @@ from auditlens import fixed
 from auditlens.functions.scalars import c, family
 from auditlens.operators.projection import qualify
 from auditlens.sources.catalog import Catalog
+from auditlens.sources.staging import stage
 
 # --- Fixed values: accepted spellings of join types --------------------------------------
 JOIN_TYPES = {
@@ -69,7 +70,8 @@ def full_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
     """Full outer equi-join that survives a hot key.
 
     Spark splits skewed partitions of left, inner and anti joins but not of full joins, so
-    the rows of the right side without a partner are added by an anti join on distinct keys.
+    the rows of the right side without a partner are added by an anti join on distinct keys. Of
+    the left side the second pass reads the key alone.
     """
     matched = left.join(right, c(left_key) == c(right_key), "left")
     keys = left.where(c(left_key).isNotNull()).select(c(left_key).alias("__key")).distinct()
@@ -85,19 +87,21 @@ def join_tables(
     datetimes_as_text: bool = False,
 ) -> DataFrame:
     """Chain of single-column equi-joins over qualified columns. Keys are compared as they
-    are. Sides are not forced to broadcast: Spark does so when their size allows."""
+    are. Sides are not forced to broadcast: Spark does so when their size allows. What a chain has
+    joined before a full step is written once, as that step reads it twice."""
     check_joins(catalog, tables, joins)
 
     def source(table: str) -> DataFrame:
         return qualify(catalog.table(table), table)
 
     out = source(tables[0])
-    for step in joins:
+    for number, step in enumerate(joins):
         left, right = (f"{step.left_table}.{step.left_column}",
                        f"{step.right_table}.{step.right_column}")
         how = join_type(step.join_type)
         if how == "full":
-            out = full_join(out, source(step.right_table), left, right)
+            before = stage(out, "joined") if number else out
+            out = full_join(before, source(step.right_table), left, right)
         else:
             out = out.join(source(step.right_table), c(left) == c(right), how)
     order = [f"{t}.{n}" for t in tables for n in catalog.table(t).columns]

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from auditlens import fixed
 from auditlens.functions.scalars import c
+from auditlens.operators.joins import JoinStep, join_tables
 from auditlens.operators.rules import EVIDENCE_TYPE
 from auditlens.operators.signals import SIGNAL_TYPE
 from auditlens.operators.summaries import extreme_rows, latest_per
 from auditlens.plans.review import review_rows
 from auditlens.plans.workbench import run_workbench
 from auditlens.plans.request import RunRequest
+from auditlens.sources.catalog import Catalog
 from auditlens.sources.results import ResultStore, RunWriter, exists
 from auditlens.sources.staging import staging_root
 from tests.test_model import model, tables  # noqa: F401
@@ -203,3 +205,33 @@ def test_extreme_rows_of_hot_null_and_tied_groups(spark):
     first = extreme_rows(df, ["k"], ["a", "b"], first=True).collect()
     assert {r["k"]: (r["a"], r["b"]) for r in first} == {"hot": (0, 0), None: (1, None), "n": (None, 4), "same": (1, 1), "half": (3, None)}
     assert len(first) == 5 and extreme_rows(df, ["k"], []).count() == 5 and extreme_rows(df.limit(0), ["k"], ["a"]).count() == 0
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_a_full_step_does_not_join_twice_what_lies_before_it(spark, tmp_path):
+    rows = {
+        "a": [(1, 10), (2, 20), (2, 21), (None, 30)], "b": [(2, "x"), (3, "y"), (None, "z"), (2, "w")],
+        "d": [(10, 1.0), (99, 2.0), (None, 3.0)]}
+    shapes = {"a": "k int, v int", "b": "k int, w string", "d": "v int, u double"}
+    for name, cells in rows.items():
+        spark.createDataFrame(cells, shapes[name]).write.parquet(str(tmp_path / name))
+    catalog = Catalog.from_parquet(spark, {n: str(tmp_path / n) for n in rows})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one = join_tables(catalog, ["a", "b"], [JoinStep("a", "k", "b", "k", "full")])
+        got = sorted(map(tuple, one.collect()), key=str)
+        chain = join_tables(catalog, ["a", "d", "b"], [JoinStep("a", "v", "d", "v", "left"), JoinStep("a", "k", "b", "k", "full")])
+        plan = executed(chain)
+        assert str(tmp_path / "d") not in plan and str(tmp_path / "a") not in plan  # only what was joined and written
+        more = sorted(map(tuple, chain.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = [(1, 10, None, None), (2, 20, 2, "x"), (2, 20, 2, "w"), (2, 21, 2, "x"), (2, 21, 2, "w"), (None, 30, None, None),
+            (None, None, 3, "y"), (None, None, None, "z")]
+    assert got == sorted(want, key=str)
+    side = {10: (10, 1.0)}
+    assert more == sorted([(k, v, *side.get(v, (None, None)), *rest) for k, v, *rest in want], key=str)

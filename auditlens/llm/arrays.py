@@ -16,7 +16,6 @@ U = np.uint64
 SLICE_BYTES = 1 << 18
 # Odd multipliers of a well-known 64-bit finaliser; any odd constants would do.
 _M1, _M2, _GOLD = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
-_BASE = U(0x5851F42D4C957F2F)
 
 #: Bytes between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
@@ -45,19 +44,7 @@ def seeds(count: int, salt: int = 0) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U) * _GOLD)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: U, count: int) -> np.ndarray:
-    known = _powers.get(name)
-    if known is None or len(known) < count:
-        with np.errstate(over="ignore"):
-            known = np.multiply.accumulate(np.concatenate(([U(1)], np.full(count - 1, base, U))))
-        _powers[name] = known
-    return known[:count]
-
-
-_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES):
@@ -96,12 +83,23 @@ def word_bounds(data: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span of bytes, equal for equal contents."""
-    n = len(data)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(_BYTE[data] * _power("up", _BASE, n), out=sums[1:])
-    spans = (sums[ends] - sums[starts]) * _power("down", _INVERSE, n)[starts]
-    return mix(spans + (ends - starts).astype(U) * _GOLD)
+    """A hash of each span of bytes, equal for equal contents.
+
+    Each block of 8 bytes of a span is scrambled with its number before the blocks are added.
+    (A polynomial modulo 2**64 would give one hash to the two Thue-Morse words of 1024 bytes.)
+    """
+    lengths = np.asarray(ends - starts, np.int64)
+    blocks = (lengths + 7) // 8
+    first = np.cumsum(blocks) - blocks
+    number = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    values = np.zeros(len(number) + 1, U)
+    values[:-1] = windows[np.repeat(starts, blocks) + 8 * number].view("<u8")[:, 0]
+    values[:-1] &= _MASKS[np.minimum(np.repeat(lengths, blocks) - 8 * number, 8)]
+    values[:-1] = mix(values[:-1] + (number + 1).astype(U) * _GOLD)
+    sums = np.add.reduceat(values, first) if len(first) else np.zeros(0, U)
+    sums[blocks == 0] = 0
+    return mix(sums + lengths.astype(U) * _GOLD)
 
 
 class Words:

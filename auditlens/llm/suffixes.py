@@ -17,8 +17,11 @@ strings cover are removed. Only suffixes that can have a long common prefix are
    of both, the rank there, and the few bytes behind it, however long they agree.
 4. Neighbours of the sorted suffixes that agree on ``length`` bytes are repeats.
 5. An anchor with more different fragments (a common line in ever other contexts) is not gathered:
-   each window of its runs is counted by its 128-bit digest in Spark, and the windows of a run
-   that occur more than once become one span.
+   it is made longer. Each window reaches half of its free bytes either to the left or to the
+   right of the anchor, so a run falls into at most two, whose anchors are the old one and these
+   bytes; equal windows still share anchor and distance. Longer anchors that occur once go no
+   further, those with few fragments are sorted, and the rest is made longer again. An anchor of
+   all ``length`` bytes has one fragment, so this ends after as many rounds as ``length`` has bits.
 
 Texts of documents without repeated anchors are not shuffled. Null and empty texts have no bytes.
 Rows without doc_id are left as they are. Rows that share a doc_id are rows of one document: a
@@ -28,7 +31,7 @@ span found in one of them is removed from each.
 from __future__ import annotations
 
 import hashlib
-from itertools import islice
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +47,8 @@ LENGTH, SEED = 200, 32
 PIECE_BYTES = 8 << 20
 PERIOD, COVER = 8, (0, 1, 2, 4)
 BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 64 << 20, 256
-#: Most different fragments of one anchor that are gathered; a task remembers so many fragments, and
-#: gives so many windows at a time.
-ANCHOR_FRAGMENTS, REMEMBERED, WINDOW_ROWS = 1024, 1 << 16, 1 << 16
+#: Most different fragments of one anchor that are gathered; a task remembers so many fragments.
+ANCHOR_FRAGMENTS, REMEMBERED = 1024, 1 << 16
 
 
 def cover_distance(one: int, two: int) -> int:
@@ -115,7 +117,7 @@ def _digest(fragment: bytes) -> bytes:
 
 def _fragments(length: int, bucket_count: int, whole: bool):
     """Task: fragments with their bytes, equal ones of a slice once and of a task seldom more than
-    twice; or where each one is. Those of wide anchors are left to :func:`_windows`."""
+    twice; or where each one is."""
 
     def run(batches):
         given: dict[tuple[int, int, bytes], int] = {}
@@ -123,7 +125,8 @@ def _fragments(length: int, bucket_count: int, whole: bool):
             found: dict[tuple[int, int, bytes], int] = {}
             docs, starts, digests = [], [], []
             for i, (text, places) in enumerate(zip(rows, batch.column("places").to_pylist(), strict=True)):
-                for seed, place in ((p["seed"], p["place"]) for p in places if not p["wide"]):
+                # Rows of one document may share a place.
+                for seed, place in {(p["seed"], p["place"]) for p in places}:
                     start = place >> 16
                     fragment = text[start:start + (place & 255) + length]
                     if whole:
@@ -155,21 +158,39 @@ def _fragments(length: int, bucket_count: int, whole: bool):
     return run
 
 
-def _windows(length: int):
-    """Task: each window of the runs with a wide anchor: its document, run, start and digest."""
+def _longer(length: int):
+    """Task: the runs of wide anchors again, with longer anchors, each cut in two where need be.
+
+    All windows of a run hold ``low`` bytes before its anchor and ``high`` behind its seed.
+    """
 
     def run(batches):
         for batch, ids, rows in slices(batches):
-            found = (
-                (i, start, at, _digest(text[at:at + length]))
-                for i, (text, places) in enumerate(zip(rows, batch.column("places").to_pylist(), strict=True))
-                for start, windows in ((p["place"] >> 16, (p["place"] & 255) + 1) for p in places if p["wide"])
-                for at in range(start, min(start + windows, len(text) - length + 1)))
-            while part := list(islice(found, WINDOW_ROWS)):
-                docs, first, starts, digests = zip(*part, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(docs, pa.int64())), pa.array(first, pa.int64()), pa.array(starts, pa.int64()),
-                     pa.array(digests, pa.binary())], ["doc_id", "run", "start", "digest"])
+            data, offsets = joined(rows)
+            found = np.array([
+                (i, *r) for i, (text, places) in enumerate(zip(rows, batch.column("runs").to_pylist(), strict=True))
+                for r in sorted({(p["place"], p["low"], p["high"]) for p in places})
+                if (r[0] >> 16) + (r[0] & 255) + length <= len(text)], np.int64).reshape(-1, 4)
+            owner, place, low, high = found.T
+            distance, size = place >> 8 & 255, (place & 255) + 1
+            left = (length - SEED - low - high + 1) // 2
+            right = length - SEED - low - high - left + 1
+            # Windows before the cut hold ``left`` bytes more before the anchor, the others ``right`` behind.
+            cut = np.clip(distance - low - left + 1, 0, size)
+            one, two = np.flatnonzero(cut > 0), np.flatnonzero(cut < size)
+            at = np.concatenate((one, two))
+            start = np.concatenate((np.zeros(len(one), np.int64), cut[two]))
+            size = np.concatenate((cut[one], size[two] - cut[two]))
+            low, high = np.concatenate(((low + left)[one], low[two])), np.concatenate((high[one], (high + right)[two]))
+            distance, start = distance[at] - start, (place >> 16)[at] + start
+            begin = offsets[owner[at]] + start
+            anchor = begin + distance
+            seed = mix(span_hashes(data, anchor - low, anchor + SEED + high) + low.astype(U) * seeds(1, 12))
+            content = span_hashes(data, begin, begin + size - 1 + length)
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(owner[at])), pa.array(seed.view(np.int64)), pa.array(start << 16 | distance << 8 | (size - 1)),
+                 pa.array(content.view(np.int64)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
+                ["doc_id", "seed", "place", "content", "low", "high"])
 
     return run
 
@@ -299,43 +320,44 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length must be from {SEED + 2 * PERIOD} to {SEED + 254}")
     given = with_ids(docs)
     buckets = max(LEAST_BUCKETS, text_bytes(given) // BUCKET_BYTES)
-    held, wide = _held(given, length)
+    held = _held(given, length)
     fragments = held.mapInArrow(
         _fragments(length, buckets, True), "bucket int, seed long, distance int, fragment binary, n long")
     repeats = fragments.groupBy("bucket").applyInArrow(_repeats(length), "digest binary, low long, high long")
     spots = held.mapInArrow(_fragments(length, buckets, False), "doc_id long, start long, digest binary")
-    spans = spots.join(repeats, "digest").select(
+    return spots.join(repeats, "digest").select(
         "doc_id", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("end"))
-    if not wide:
-        return spans
-    windows = held.mapInArrow(_windows(length), "doc_id long, run long, start long, digest binary")
-    twice = stage(windows.groupBy("digest").count().where("count > 1").select("digest"), "twice")
-    # The windows of a run start less than a window apart, so those that repeat cover one span.
-    return spans.unionByName(windows.join(twice, "digest").groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), (F.max("start") + length).alias("end")).drop("run"))
-
-
-def _held(given: DataFrame, length: int) -> tuple[DataFrame, bool]:
-    """The texts with runs whose anchor occurs more than once, with these runs; and whether any
-    anchor is wide: has more than ANCHOR_FRAGMENTS different fragments."""
-    anchors = given.mapInArrow(_anchors(length), "doc_id long, seed long, place long, content long")
-    # Written first, so that Spark can split a hot anchor in the join.
-    several = stage(anchors.groupBy("seed").count().where("count > 1"), "seeds")
-    many = several.where(F.col("count") > ANCHOR_FRAGMENTS).select("seed")
-    wide = None
-    if not many.isEmpty():
-        wide = stage(
-            anchors.join(many, "seed").select("seed", "content").distinct().groupBy("seed").count()
-            .where(F.col("count") > ANCHOR_FRAGMENTS).select("seed", F.lit(True).alias("wide")), "wide")
-    if wide is None or wide.isEmpty():
-        wide, several = None, several.select("seed", F.lit(False).alias("wide"))
-    else:
-        several = stage(several.select("seed").join(wide, "seed", "left").select(
-            "seed", F.coalesce("wide", F.lit(False)).alias("wide")), "seeds")
-    places = stage(anchors.drop("content").join(several, "seed").groupBy("doc_id").agg(
-        F.collect_list(F.struct("seed", "place", "wide")).alias("places")), "places")
+
+
+def _held(given: DataFrame, length: int) -> DataFrame:
+    """The texts with runs whose anchor occurs more than once, with these runs. No anchor has
+    more than ANCHOR_FRAGMENTS different fragments."""
+    runs = given.mapInArrow(_anchors(length), "doc_id long, seed long, place long, content long").select(
+        "*", F.lit(0).alias("low"), F.lit(0).alias("high"))
+    found = []
+    while True:
+        # Written first, so that Spark can split a hot anchor in the join.
+        several = stage(runs.groupBy("seed").count().where("count > 1"), "seeds")
+        many = several.where(F.col("count") > ANCHOR_FRAGMENTS).select("seed")
+        several = several.select("seed")
+        hot = None
+        if not many.isEmpty():
+            rows = stage(runs.join(many, "seed"), "many")
+            wide = stage(rows.select("seed", "content").distinct().groupBy("seed").count().where(
+                F.col("count") > ANCHOR_FRAGMENTS).select("seed"), "wide")
+            if not wide.isEmpty():
+                several = stage(several.join(wide, "seed", "left_anti"), "seeds")
+                hot = stage(rows.join(wide, "seed").groupBy("doc_id").agg(
+                    F.collect_list(F.struct("place", "low", "high")).alias("runs")), "runs")
+        found.append(runs.join(several, "seed").select("doc_id", "seed", "place"))
+        if hot is None:
+            break
+        runs = stage(only_ids(given, stage(hot.select("doc_id"), "ids")).join(hot, "doc_id").select("doc_id", "text", "runs").mapInArrow(
+            _longer(length), "doc_id long, seed long, place long, content long, low int, high int"), "runs")
+    places = stage(reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(
+        F.collect_list(F.struct("seed", "place")).alias("places")), "places")
     ids = stage(places.select("doc_id"), "ids")
-    return only_ids(given, ids).join(places, "doc_id").select("doc_id", "text", "places"), wide is not None
+    return only_ids(given, ids).join(places, "doc_id").select("doc_id", "text", "places")
 
 
 def _kept(batches):

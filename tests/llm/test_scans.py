@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -85,6 +86,19 @@ def test_spans_are_those_of_plain_patterns_and_counted_windows(spark, secret_tex
     assert secrets.scan(rows.limit(0)).collect() == []
 
 
+def test_secret_scan_of_very_long_strings(spark):
+    rng = random.Random(12)
+    base64 = "".join(rng.choices(secrets.ALPHABET[:64], k=1 << 20))
+    some = "ab1" * 3000 + base64[:30] + "ab1" * 9000 + base64[30:70] + "ab1" * 2000
+    letters, many = "abcdefghijkmno" * 75000, " ".join(base64[i:i + 25] for i in range(0, 50000, 25))
+    for name, text in (("base64", base64), ("letters", letters), ("some", some), ("many", many)):
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        begun = time.monotonic()
+        got = secrets.scan(docs).select(secrets.as_text(F.col("found")).alias("spans")).first()["spans"]
+        assert got == joined(brute_spans(text)[1]), name
+        assert time.monotonic() - begun < 30, name
+
+
 def test_secret_query_on_the_smallest_tables(spark):
     texts = dict(map(tuple, spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()))
     for r in QUERIES["op3_secrets"](spark, SMALL).collect():

@@ -75,6 +75,29 @@ def test_words_that_repeat_an_earlier_document_go(docs, corpus):
     assert got == kept_words(corpus)
 
 
+@pytest.mark.parametrize("edges", [0, 40])
+def test_hot_buckets_of_edges_do_not_change_the_result(docs, corpus, monkeypatch, edges):
+    monkeypatch.setattr(substrings, "HOT_EDGES", edges)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeated(docs).collect()}
+    assert got == kept_words(corpus)
+
+
+def test_no_bucket_of_many_edges_is_gathered(docs, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_EDGES", 40)
+    want = {tuple(r) for r in substrings.repeated_spans(docs).collect()}
+    given = substrings.with_ids(docs)
+    sizes = {r["bucket"]: r["n"] for r in given.mapInArrow(
+        substrings._counted(13, 256), "bucket int, edges long").groupBy("bucket").agg(F.sum("edges").alias("n")).collect()}
+    hot = np.array([b for b, n in sizes.items() if n > 40], np.int32)
+    assert len(hot) and len(hot) < len(sizes)
+    packed = given.mapInArrow(
+        substrings._edges(13, 256, hot), "bucket int, docs binary, places binary, lengths binary, keys binary")
+    gathered = packed.groupBy("bucket").agg(F.sum(F.octet_length("keys") / 8).alias("n")).collect()
+    assert {r["bucket"]: r["n"] for r in gathered} == {b: n for b, n in sizes.items() if n <= 40}
+    monkeypatch.undo()
+    assert {tuple(r) for r in substrings.repeated_spans(docs).collect()} == want
+
+
 def test_spans_name_a_place_with_the_same_words(docs, corpus):
     words = {i: WORD.findall(t or "") for i, t in corpus}
     spans = substrings.repeated_spans(docs).collect()

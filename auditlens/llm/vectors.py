@@ -8,7 +8,8 @@ with probability 2e-6 (measured rates per table: ``MEET``); closer pairs are mis
 
 Equal vectors are one class with a count before anything is compared. Buckets of one class are
 dropped by a grouped count; a bucket of more than ``TILE`` classes is dealt to tasks in pairs of
-tiles. In a cell all pairs are compared by matrix products in double precision, but none is put
+tiles (cells). Cells are gathered in parts, whose number follows from the counted rows of all
+cells, so that a part does not grow with the input. In a cell all pairs are compared by matrix products in double precision, but none is put
 out: each vector gets the number of its links and a spanning forest of them. A pair that meets
 several times counts in the first bucket that it shares, which both members know from their
 codes, so counts are exact sums.
@@ -33,6 +34,8 @@ from auditlens.llm.frames import components
 from auditlens.sources.staging import stage
 
 PROBES, CANDIDATES, TILE, PAIRS = 4, 3, 4096, 50_000
+#: Bytes of vectors and codes that a task gathers at once, on average; a cell has at most two tiles.
+PART_BYTES = 16 << 20
 #: How often a pair at cosine 0.95 (64 dimensions) shares a bucket of a table of k hashes.
 MEET = {1: 0.97, 2: 0.90, 3: 0.73, 4: 0.55}
 MISS = 2e-6
@@ -203,21 +206,24 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     same = ["width", "print1", "print2"]
     classes = stage(known.groupBy(*same).agg(F.min("vec_id").alias("first"), F.count("*").alias("n")), "classes")
     size = classes.agg(F.count("*"), F.max("width")).first()
-    k, tables = plan(size[0], 1 << max(1, ((size[1] or 2) - 1).bit_length()))
+    width = 1 << max(1, ((size[1] or 2) - 1).bit_length())
+    k, tables = plan(size[0], width)
     firsts = known.join(classes, same).where("vec_id = first").dropDuplicates(["vec_id"]).select("vec_id", "n", "vector")
     coded = stage(firsts.mapInArrow(
         _coded(k, tables), "vec_id long, n long, unit binary, codes array<long>"), "coded")
     members = coded.select("vec_id", F.explode(F.array_distinct("codes")).alias("code"))
     shared = stage(members.groupBy("code").count().where("count > 1").select(
-        "code", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "shared")
+        "code", "count", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "shared")
     tile = F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int")
-    parts = coded.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    gathered = shared.agg(F.sum(F.col("count") * F.col("tiles"))).first()[0] or 0
+    parts = max(4 * int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                math.ceil(gathered * 8 * (width + tables * PROBES + 8) / PART_BYTES))
     cells = (
-        members.join(shared, "code").withColumn("tile", tile)
+        members.join(shared.drop("count"), "code").withColumn("tile", tile)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select("vec_id", "code", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
         .join(coded, "vec_id")
-        .withColumn("part", F.pmod(F.xxhash64("code", "low", "high"), F.lit(4 * int(parts)))))
+        .withColumn("part", F.pmod(F.xxhash64("code", "low", "high"), F.lit(parts))))
     met = stage(cells.groupBy("part").applyInArrow(_cells(cosine), "vec_id long, links long, root long"), "met")
     links = met.groupBy("vec_id").agg(F.sum("links").alias("links"))
     roots = components(met.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))

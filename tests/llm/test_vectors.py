@@ -60,6 +60,13 @@ def test_links_and_components_are_those_of_all_pairs(spark, rows, monkeypatch):
     assert got == brute(rows)
 
 
+def test_parts_of_few_bytes_do_not_change_the_links(spark, rows, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE", 64)
+    monkeypatch.setattr(vectors, "PART_BYTES", 4096)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(frame(spark, rows)).collect()}
+    assert got == brute(rows)
+
+
 def test_empty_and_extra_columns(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, code int, n string")
     assert vectors.near_vectors(empty).collect() == []

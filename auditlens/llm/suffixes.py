@@ -195,17 +195,21 @@ def _longer(length: int):
     return run
 
 
-def _dense(*keys: np.ndarray) -> np.ndarray:
-    """Rank of each tuple of keys among the different ones, the first key counting most."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+def _dense(keys: np.ndarray) -> np.ndarray:
+    """Rank of each key among the different ones; ranks are under 2**31."""
+    order = np.argsort(keys)
     step = np.zeros(len(order), np.int64)
-    for key in keys:
-        step[1:] |= key[order[1:]] != key[order[:-1]]
+    step[1:] = keys[order[1:]] != keys[order[:-1]]
     ranks = np.empty(len(order), np.int64)
     ranks[order] = np.cumsum(step)
     return ranks
 
 
+def _both(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """One number for two ranks, the first counting most; such numbers are sorted without lexsort."""
+    return one << 32 | two
+
+
 def equal_windows(fragments: list[bytes], seed: np.ndarray, distance: np.ndarray, length: int) -> list[np.ndarray]:
     """For one block: which windows of each fragment start more than once in the block.
 
@@ -238,7 +242,7 @@ def equal_windows(fragments: list[bytes], seed: np.ndarray, distance: np.ndarray
         inside = places + shift + size <= limit
         places, limit = places[inside], limit[inside]
         new = np.zeros(len(text), np.int64)
-        new[places] = _dense(rank[places], rank[places + shift])
+        new[places] = _dense(_both(rank[places], rank[places + shift]))
         rank, size = new, size + further
     windows = sizes - length + 1
     at = ranges(starts, windows)
@@ -246,11 +250,11 @@ def equal_windows(fragments: list[bytes], seed: np.ndarray, distance: np.ndarray
     to_anchor = distance[owner] - (at - starts[owner])
     shift = np.array([cover_distance(r, r) for r in range(PERIOD)])[at % PERIOD]
     # Suffix buckets one after the other: anchor and distance first, then head, rank and tail.
-    keys = ((seed[owner] << 8) + to_anchor + 255, words(at), rank[at + shift], words(at + length - PERIOD))
-    order = np.lexsort(keys[::-1])
-    same = np.ones(len(order) - 1, bool)
-    for key in keys:
-        same &= key[order[1:]] == key[order[:-1]]
+    head = _both(_dense((seed[owner] << 8) + to_anchor + 255), _dense(words(at)))
+    tail = _both(rank[at + shift], _dense(words(at + length - PERIOD)))
+    keys = _both(_dense(head), _dense(tail))
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
     twice = np.zeros(len(order), bool)
     twice[order[1:]] |= same
     twice[order[:-1]] |= same

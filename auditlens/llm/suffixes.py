@@ -340,22 +340,17 @@ def _held(given: DataFrame, length: int) -> DataFrame:
         "*", F.lit(0).alias("low"), F.lit(0).alias("high"))
     found = []
     while True:
-        # Written first, so that Spark can split a hot anchor in the join.
+        # Written first, so that Spark can split a hot anchor in the join. What repeats is written
+        # too: texts are read for their anchors twice, once to count and once to keep.
         several = stage(runs.groupBy("seed").count().where("count > 1"), "seeds")
-        many = several.where(F.col("count") > ANCHOR_FRAGMENTS).select("seed")
-        several = several.select("seed")
-        hot = None
-        if not many.isEmpty():
-            rows = stage(runs.join(many, "seed"), "many")
-            wide = stage(rows.select("seed", "content").distinct().groupBy("seed").count().where(
-                F.col("count") > ANCHOR_FRAGMENTS).select("seed"), "wide")
-            if not wide.isEmpty():
-                several = stage(several.join(wide, "seed", "left_anti"), "seeds")
-                hot = stage(rows.join(wide, "seed").groupBy("doc_id").agg(
-                    F.collect_list(F.struct("place", "low", "high")).alias("runs")), "runs")
-        found.append(runs.join(several, "seed").select("doc_id", "seed", "place"))
-        if hot is None:
+        rows = stage(runs.join(several, "seed"), "repeated")
+        wide = stage(rows.where(F.col("count") > ANCHOR_FRAGMENTS).select("seed", "content").distinct().groupBy("seed").agg(
+            F.count("*").alias("n")).where(F.col("n") > ANCHOR_FRAGMENTS).select("seed"), "wide")
+        found.append(rows.join(wide, "seed", "left_anti").select("doc_id", "seed", "place"))
+        if wide.isEmpty():
             break
+        hot = stage(rows.join(wide, "seed").groupBy("doc_id").agg(
+            F.collect_list(F.struct("place", "low", "high")).alias("runs")), "runs")
         runs = stage(only_ids(given, stage(hot.select("doc_id"), "ids")).join(hot, "doc_id").select("doc_id", "text", "runs").mapInArrow(
             _longer(length), "doc_id long, seed long, place long, content long, low int, high int"), "runs")
     places = stage(reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(

@@ -8,6 +8,7 @@ Arrow; the forest is a broadcast of at most trees x 2 x rows-per-tree nodes.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,8 @@ from auditlens import fixed
 from auditlens.functions.scalars import c
 from auditlens.operators.ordering import BUFFER_ROWS, exact_percentiles
 
+SCORED_ROWS = 20_000  # rows that walk the forest together
+
 TREE_TYPE = (
     "tree int, feature array<int>, threshold array<double>, left array<int>, "
     "right array<int>, path array<double>"
@@ -138,49 +141,82 @@ def fit_forest(
 class Scorer:
     """Forest as full binary trees in level order, ready to broadcast.
 
-    Node i has its children at 2 i + 1 and 2 i + 2, so a step needs no links; a leaf above the last
-    level is repeated below. A block of rows walks one tree at a time, all rows a level at once:
-    the tree and the block both stay in the cache.
+    Node i has its children at 2 i and 2 i + 1, so a step needs no links; a leaf above the last
+    level is repeated below. Values and thresholds are replaced by their rank among the thresholds
+    of the feature, which keeps every comparison as it is; a value's code is odd and a threshold's
+    even, so a step is the sign of a difference. Where the codes of a row fit one 64-bit word, the
+    low bits of a node say how far to shift it, else which code of the row to take. A block of rows
+    walks one tree at a time, all rows a level at once: the tree and the block both stay in the cache.
     """
 
+    FEATURE_BITS = 16
+
     def __init__(self, trees: pd.DataFrame, tree_rows: int):
         self.count = len(trees)
         self.depth = math.ceil(math.log2(max(tree_rows, 2)))
         self.scale = self.count * float(average_path(tree_rows)) or 1.0
-        self.feature = np.zeros((self.count, (1 << self.depth) - 1), np.int32)
-        self.threshold = np.zeros((self.count, (1 << self.depth) - 1))
+        split = np.zeros((self.count, 1 << self.depth), np.int32)
+        threshold = np.zeros((self.count, 1 << self.depth))
         self.path = np.zeros((self.count, 1 << self.depth))
         for k, tree in enumerate(trees.itertuples()):
-            feature, threshold, left, right, path = (
+            feature, cut, left, right, path = (
                 np.asarray(getattr(tree, n)) for n in ("feature", "threshold", "left", "right", "path"))
             nodes = np.zeros(1, np.int64)
             for level in range(self.depth):
-                place = slice((1 << level) - 1, (2 << level) - 1)
-                self.feature[k, place] = np.maximum(feature[nodes], 0)
-                self.threshold[k, place] = threshold[nodes]
+                place = slice(1 << level, 2 << level)
+                split[k, place] = np.maximum(feature[nodes], 0)
+                threshold[k, place] = cut[nodes]
                 nodes = np.stack((left[nodes], right[nodes]), 1).ravel().astype(np.int64)
             self.path[k] = path[nodes]
-
-    def score(self, values: np.ndarray, block: int = 8192) -> np.ndarray:
+        used = range(int(split.max()) + 1) if self.count else ()
+        self.cuts = [np.unique(threshold[split == f]) for f in used]
+        # Codes lie around zero; one bit to spare keeps differences within 64 bits.
+        self.bits = [(2 * len(cuts) + 3).bit_length() + 1 for cuts in self.cuts]
+        self.narrow = sum(self.bits) <= 64
+        self.node = np.zeros((self.count, 1 << self.depth), np.int64)
+        for f, cuts in enumerate(self.cuts):
+            code = 2 * np.searchsorted(cuts, threshold[split == f]) + 2 - len(cuts)
+            at = 64 - self.bits[f]
+            self.node[split == f] = (
+                (code << at) | (at - sum(self.bits[:f])) if self.narrow else (code << self.FEATURE_BITS) | f)
+
+    def _codes(self, part: np.ndarray) -> np.ndarray:
+        """Codes of a block: one word per row, or a row of codes one after the other."""
+        codes = [2 * np.searchsorted(cuts, part[:, f]) + 1 - len(cuts) for f, cuts in enumerate(self.cuts)]
+        if not self.narrow:
+            return (np.stack(codes, 1) << self.FEATURE_BITS).ravel()
+        word, low = np.zeros(len(part), np.int64), 0
+        for code, bits in zip(codes, self.bits, strict=True):
+            word |= (code & ((1 << bits) - 1)) << low
+            low += bits
+        return word
+
+    def score(self, values: np.ndarray, block: int = SCORED_ROWS) -> np.ndarray:
         """Anomaly score in (0, 1] per row of ``values``."""
         out = np.empty(len(values))
+        mask = 63 if self.narrow else (1 << self.FEATURE_BITS) - 1
         for start in range(0, len(values), block):
-            part = np.ascontiguousarray(values[start:start + block], float)
-            flat, n = part.ravel(), len(part)
-            base = np.arange(n) * part.shape[1]
-            total, node, place = np.zeros(n), np.empty(n, np.int64), np.empty(n, np.int64)
-            value, limit, leaf = np.empty(n), np.empty(n), np.empty(n)
-            for feature, threshold, path in zip(self.feature, self.threshold, self.path, strict=True):
-                node[:] = 0
+            codes = self._codes(np.asarray(values[start:start + block], float))
+            n = min(block, len(values) - start)
+            base = np.arange(n) * len(self.cuts)
+            total, leaf = np.zeros(n), np.empty(n)
+            at, step, place, value = (np.empty(n, np.int64) for _ in range(4))
+            for node, path in zip(self.node, self.path, strict=True):
+                at[:] = 1
                 for _ in range(self.depth):
-                    np.add(base, feature.take(node), out=place)
-                    flat.take(place, out=value, mode="clip")
-                    threshold.take(node, out=limit, mode="clip")
-                    node *= 2
-                    node += 2
-                    node -= value <= limit
-                node -= len(feature)
-                total += path.take(node, out=leaf, mode="clip")
+                    node.take(at, out=step, mode="clip")
+                    np.bitwise_and(step, mask, out=place)
+                    if self.narrow:
+                        np.left_shift(codes, place, out=value)
+                    else:
+                        place += base
+                        codes.take(place, out=value, mode="clip")
+                    step -= value
+                    step >>= 63  # -1 where the value is above the threshold
+                    at += at
+                    at -= step
+                at -= 1 << self.depth
+                total += path.take(at, out=leaf, mode="clip")
             out[start:start + block] = 2.0 ** (-total / self.scale)
         return out
 
@@ -194,8 +230,7 @@ def score_column(spark: SparkSession, trees: pd.DataFrame, tree_rows: int, vecto
     """Score of a feature vector; a NULL vector is passed over and scores NULL."""
     shared = spark.sparkContext.broadcast(Scorer(trees, tree_rows))
 
-    @F.arrow_udf("double")
-    def isolation_score(vectors: pa.Array) -> pa.Array:
+    def scores(vectors: pa.Array) -> pa.Array:
         if vectors.null_count == len(vectors):
             return pa.nulls(len(vectors), pa.float64())
         wanted = vectors.is_valid().to_numpy(zero_copy_only=False)
@@ -204,6 +239,17 @@ def score_column(spark: SparkSession, trees: pd.DataFrame, tree_rows: int, vecto
         scores[wanted] = shared.value.score(dense.reshape(int(wanted.sum()), -1))
         return pa.array(scores, mask=~wanted)
 
+    @F.arrow_udf("double")
+    def isolation_score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        waiting, rows = [], 0
+        for vectors in batches:
+            waiting, rows = [*waiting, vectors], rows + len(vectors)
+            if rows >= SCORED_ROWS:
+                yield scores(pa.concat_arrays(waiting))
+                waiting, rows = [], 0
+        if waiting:
+            yield scores(pa.concat_arrays(waiting))
+
     return isolation_score(vector)
 
 

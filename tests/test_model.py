@@ -1,13 +1,15 @@
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from auditlens.functions.features import FeatureRule
 from auditlens.functions.scalars import c
 from auditlens.model.forest import (
-    ForestParams, Scorer, average_path, collect_forest, fit_forest, ml_flag, score_column, tree_samples,
+    ForestParams, Scorer, average_path, collect_forest, fit_forest, grow_tree, ml_flag, score_column,
+    tree_samples,
 )
 from auditlens.model.io import load_model, save_model
 from auditlens.model.preprocess import Preprocessor, fit_numeric, fit_preprocessor
@@ -63,6 +65,52 @@ def test_scores_of_constant_rows_and_guarded_rows(spark):
     assert np.allclose(average_path([1, 2]), [0, 1])
 
 
+def walked(trees, tree_rows, values):
+    """Scores by following the links of each tree, row by row."""
+    scale = len(trees) * float(average_path(tree_rows))
+    out = []
+    for row in values:
+        total = 0.0
+        for tree in trees.itertuples():
+            node = 0
+            while tree.left[node] != node:
+                node = tree.left[node] if row[tree.feature[node]] <= tree.threshold[node] else tree.right[node]
+            total += tree.path[node]
+        out.append(2.0 ** (-total / scale))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("width", [2, 12])
+def test_scores_are_those_of_the_linked_trees(width):
+    """Exactly, on both sides of every threshold, in one word per row and in several codes."""
+    rng = np.random.default_rng(3)
+    seen = np.round(rng.normal(size=(400, width)), 2)
+    trees = pd.DataFrame([
+        {"tree": k, **grow_tree(seen[rng.permutation(400)[:64]], 6, np.random.default_rng(k))} for k in range(30)])
+    cuts = np.unique(np.concatenate(trees["threshold"].tolist()))[:, None].repeat(width, 1)
+    values = np.concatenate([seen, cuts, np.nextafter(cuts, np.inf), np.full((1, width), np.inf), np.full((1, width), -np.inf),
+                             np.full((1, width), np.nan)])
+    scorer = Scorer(trees, 64)
+    assert scorer.narrow == (width == 2)
+    assert np.array_equal(scorer.score(values, block=100), walked(trees, 64, values))
+
+
+def test_batches_are_scored_together(spark, monkeypatch):
+    """Several batches walk the forest as one block; NULL vectors and the order of rows stay."""
+    rows = spark.range(0, 900, 1, 2).select("id", F.when(c("id") % 7 != 0, F.array(
+        c("id").cast("double"), (c("id") % 13).cast("double"))).alias("features"))
+    trees = collect_forest(fit_forest(rows.where("features IS NOT NULL"), 771, ForestParams(trees=10, tree_rows=32), row_id="id"))
+    monkeypatch.setattr("auditlens.model.forest.SCORED_ROWS", 200)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        got = dict(rows.select("id", score_column(spark, trees, 32, F.col("features"))).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    values = np.array([[i, i % 13] for i in range(900)], float)
+    want = Scorer(trees, 32).score(values)
+    assert all(got[i] == (None if i % 7 == 0 else want[i]) for i in range(900))
+
+
 def test_margin_above_threshold(spark):
     df = spark.createDataFrame([(0.62,), (0.64,), (0.651,), (None,)], "s double")
     assert [r[0] for r in df.select(ml_flag(c("s"), 0.58)).collect()] == [False, False, True, False]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from auditlens.functions.scalars import c
 from auditlens.operators.cleaning import FeatureColumns
-from auditlens.operators.ordering import BUFFER_ROWS, exact_percentiles
+from auditlens.operators.ordering import BUFFER_ROWS, _run, exact_percentiles
 
 
 @dataclass(frozen=True)
@@ -105,10 +105,14 @@ def fit_numeric(
 
     A zero range scales by 1. Columns without any value are left out.
     """
-    medians = exact_percentiles(df, columns, [0.5], buffer_rows=buffer_rows)
-    known = {n: m[0] for n, m in medians.items() if m[0] is not None}
-    filled = df.select(*[F.coalesce(_number(c(n)), F.lit(m)).alias(n) for n, m in known.items()])
-    ranges = exact_percentiles(filled, list(known), [0.25, 0.75], buffer_rows=buffer_rows)
+    found = exact_percentiles(df, columns, [0.25, 0.5, 0.75], buffer_rows=buffer_rows)
+    known = {n: m for n, (_, m, _) in found.items() if m is not None}
+    ranges = {n: (found[n][0], found[n][2]) for n in known}
+    # Only where values are missing does filling move the quartiles.
+    gaps = _run(df, [F.count_if(_number(c(n)).isNull()) for n in known]) if known else ()
+    filled = df.select(*[F.coalesce(_number(c(n)), F.lit(known[n])).alias(n)
+                         for n, missing in zip(known, gaps) if missing])
+    ranges.update(exact_percentiles(filled, filled.columns, [0.25, 0.75], buffer_rows=buffer_rows))
     return [NumericStep(n, m, (ranges[n][1] - ranges[n][0]) or 1.0) for n, m in known.items()]
 
 

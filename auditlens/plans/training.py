@@ -118,7 +118,8 @@ def train_frame(
     spark = raw.sparkSession
     counts = {"source": source_count, "queried": raw.count()}
     keys = invoice_keys(raw.columns, tables)
-    no_void = drop_void_duplicates(raw, keys) if keys else raw
+    # Written once: the column checks, the counts and the features read it, without the join.
+    no_void = stage(drop_void_duplicates(raw, keys), "training-valid") if keys else raw
     cleaned, dropped = filter_columns(
         no_void, null_limit=options.null_limit, text_limit=options.text_limit,
         text_columns=options.text_columns)
@@ -136,10 +137,9 @@ def train_frame(
     booleans = {n: norm_bool(c(n)) for n in chosen.boolean}
     ready = wide.withColumns(booleans) if booleans else wide
     features = stage(ready.select(*[c(n) for n in chosen.inputs]), "training-features")
-    steps = (no_void, day, ordered)
-    counts.update(zip(("after_invoices", "after_night", "after_sequence"),
-                      [df.count() for df in steps]))
-    total = counts["training"] = features.count()
+    total = features.count()
+    counts.update(after_invoices=no_void.count(), after_night=day.count() if pairs else total,
+                  after_sequence=total, training=total)
 
     preprocessor = fit_preprocessor(features, chosen)
     numbered = stage(with_content_ids(features), "training-numbered")

@@ -189,6 +189,34 @@ def test_training_report(spark, model):
     assert "bill_empty" not in model.contract.cleaned_columns
 
 
+def test_training_joins_void_duplicates_once(spark, monkeypatch):
+    """Column checks, counts and features read what the join has written."""
+    plans = {}
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stage(df, name)
+
+    monkeypatch.setattr("auditlens.plans.training.stage", noted)
+    trained = train_dataset(tables(spark), "dak.bill", TrainingOptions(forest=ForestParams(trees=5, tree_rows=64)))
+    assert "Join" in plans["training-valid"] and "Join" not in plans["training-features"]
+    report = trained.report
+    assert report["after_sequence"] == report["training"] <= report["after_night"] <= report["after_invoices"]
+
+
+def test_quartiles_of_full_columns_take_the_passes_of_the_median(spark, monkeypatch):
+    from auditlens.operators import ordering
+
+    passes, run = [], ordering._run
+    monkeypatch.setattr(ordering, "_run", lambda df, aggregates: passes.append(df.columns) or run(df, aggregates))
+    df = spark.createDataFrame([(float(v), None if v % 3 == 0 else float(v)) for v in range(50)], "x double, gaps double")
+    x, gaps = fit_numeric(df, ["x", "gaps"])
+    assert (x.median, x.scale) == (24.5, 24.5)
+    filled = np.array([gaps.median if v % 3 == 0 else v for v in range(50)])
+    assert gaps.median == 25.0 and gaps.scale == np.subtract(*np.quantile(filled, [0.75, 0.25]))
+    assert passes == [["x", "gaps"]] * 2 + [["gaps"]] * 2
+
+
 def test_model_round_trip(spark, model, tmp_path):
     save_model(spark, model, str(tmp_path / "m"))
     loaded = load_model(spark, str(tmp_path / "m"))

@@ -200,11 +200,13 @@ def number_text(value: Column) -> Column:
 def value_text(text: Column) -> Column:
     """A value inside a sentence: numbers by size, text cut to 40 characters."""
     number = float_of(text)
-    plain = strip_blanks(collapse_blanks(text))
-    cut = F.when(F.length(plain) <= 40, plain).otherwise(
-        F.concat(F.substring(plain, 1, 37), F.lit("..."))
-    )
-    return F.coalesce(bind(number, number_text), cut, F.lit("unknown"))
+
+    def cut(plain: Column) -> Column:
+        return F.when(F.length(plain) <= 40, plain).otherwise(
+            F.concat(F.substring(plain, 1, 37), F.lit("...")))
+
+    return F.coalesce(
+        bind(number, number_text), bind(strip_blanks(collapse_blanks(text)), cut), F.lit("unknown"))
 
 
 def readable(name: Column) -> Column:
@@ -212,7 +214,7 @@ def readable(name: Column) -> Column:
     last = F.element_at(F.split(name, r"\."), -1)
     bare = F.regexp_replace(last, r"(?i)__(missing|flag|ratio|diff)$", "")
     phrase = F.lower(strip_blanks(F.regexp_replace(bare, r"[_\-]+", " ")))
-    return F.when(phrase != "", phrase).otherwise("field")
+    return bind(phrase, lambda p: F.when(p != "", p).otherwise("field"))
 
 
 def readable_category(value: Column) -> Column:
@@ -220,13 +222,19 @@ def readable_category(value: Column) -> Column:
     edges = F.regexp_replace(
         collapse_blanks(F.coalesce(value, F.lit(""))), r"^[_ \-]+|[_ \-]+$", ""
     )
-    phrase = strip_blanks(F.regexp_replace(edges, r"[_\-]+", " "))
-    short = F.when(
-        F.length(phrase) > 60,
-        F.concat(F.regexp_replace(F.substring(phrase, 1, 57), r"\s+$", ""), F.lit("...")),
-    ).otherwise(phrase)
-    blank = F.lower(edges).isin("", *fixed.BLANK_CATEGORY_WORDS)
-    return F.when(blank, F.lit("")).otherwise(F.lower(short))
+
+    def short(phrase: Column) -> Column:
+        return F.when(
+            F.length(phrase) > 60,
+            F.concat(F.regexp_replace(F.substring(phrase, 1, 57), r"\s+$", ""), F.lit("...")),
+        ).otherwise(phrase)
+
+    def worded(edges: Column) -> Column:
+        blank = F.lower(edges).isin("", *fixed.BLANK_CATEGORY_WORDS)
+        phrase = strip_blanks(F.regexp_replace(edges, r"[_\-]+", " "))
+        return F.when(blank, F.lit("")).otherwise(F.lower(bind(phrase, short)))
+
+    return bind(edges, worded)
 
 
 def epoch_date(value: Column) -> Column:

@@ -73,9 +73,13 @@ def safe_num(col: Column, dtype: T.DataType | None = None) -> Column:
 
 def float_of(text: Column) -> Column:
     """Finite double of any numeric spelling, exponents included; NULL otherwise."""
-    plain = F.trim(text)
-    value = F.when(plain.rlike(fixed.FLOAT_PATTERN), plain.try_cast("double"))
-    return F.when(F.abs(value) < float("inf"), value)
+    def number(plain: Column) -> Column:
+        return F.when(plain.rlike(fixed.FLOAT_PATTERN), plain.try_cast("double"))
+
+    def finite(value: Column) -> Column:
+        return F.when(F.abs(value) < float("inf"), value)
+
+    return bind(bind(F.trim(text), number), finite)
 
 
 def num_or_text_eq(

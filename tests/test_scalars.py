@@ -152,3 +152,15 @@ def test_decimals_are_those_of_the_binary_value(spark):
     rows = spark.createDataFrame([(v,) for v in values], "v double").select(
         "v", X.number_text(F.col("v")).alias("n"), X.percent_text(F.col("v")).alias("p")).collect()
     assert [(r["v"], r["n"], r["p"]) for r in rows] == [(v, plain(v), percent(v)) for v in values]
+
+
+def test_texts_are_computed_once_per_row(spark):
+    """A look-up that is read as a number or put into words stands in the plan once."""
+    from auditlens.functions.scalars import float_of
+    from auditlens.functions.texts import readable, readable_category
+
+    df = spark.createDataFrame([(" 1.5 ",), ("1e999",), ("n/a",), (None,)], "x string")
+    for step in (float_of, readable, readable_category):
+        plan = df.select(step(F.upper("x")).alias("y"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("upper(") == 1, step
+    assert [r[0] for r in df.select(float_of(F.col("x"))).collect()] == [1.5, None, None, None]

@@ -47,12 +47,37 @@ _BYTE = mix(np.arange(1, 257, dtype=U) * _GOLD)
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
-def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES):
+_held: dict = {}
+
+
+def held(key, make):
+    """What the tasks of one operator share in a worker, made by the first of them."""
+    let_go(key)
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go(keep=None) -> None:
+    """Drop what tasks of other operators have left in this worker, but for the key ``keep``.
+
+    Workers outlive stages. Without this, one that has been through a pipeline would go on
+    holding the tables of each operator at once. Each task calls it first, mostly by ``slices``.
+    """
+    gone = [key for key in _held if key != keep]
+    for key in gone:
+        del _held[key]
+    if gone:
+        pa.default_memory_pool().release_unused()
+
+
+def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, keep=None):
     """Cut batches into slices of at most ``limit`` bytes of text (one row at least).
 
     Gives (slice, ids, texts): the columns ``doc_id`` and ``text`` of the slice, the texts as
-    bytes, a null text as an empty one.
+    bytes, a null text as an empty one. ``keep`` is the key of what the operator itself holds.
     """
+    let_go(keep)
     for batch in batches:
         column = batch.column("text").cast(pa.binary())
         ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))

@@ -13,13 +13,15 @@ Tokens are emitted as soon as all guesses agree, after a lookahead of at most ab
 token. Steps are kept once computed; the table is emptied when it has ``MAX_STEPS`` of them, which
 changes no result. Memory does not depend on the texts.
 
-The vocabulary file is read in each Python worker, from its path there.
+The vocabulary file is read in each Python worker, from its path there. A worker keeps the tables
+from task to task, until it gets a task of another operator.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import marshal
 from itertools import islice
 
 import numpy as np
@@ -28,12 +30,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlens.llm.arrays import slices
+from auditlens.llm.arrays import held, slices
 
 MAX_STEPS, MAX_PIECES, MAX_PAIRS, BLOCK = 250_000, 250_000, 200_000, 8192
 FEW_TOKENS, LONG_TEXT = 12, 1 << 20
 #: Instead of the token before: there is none, any token may follow, no longer token fits.
 START, ANY, NONE = -1, -2, -3
+#: The version of marshal that writes equal values as equal bytes.
+PLAIN = 2
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -71,6 +75,9 @@ class Transducer:
                     if len(tokens) > FEW_TOKENS:
                         self.longer[node] = None
                 node = self.child[node << 8 | byte]
+        # Most nodes have none: they share one list.
+        none: list[int] = []
+        self.longer = [none if tokens == [] else tokens for tokens in self.longer]
         self.hopes: dict[int, int] = {}
         self.packed = {rank: rank.to_bytes(4, "little") for rank in self.bytes_of}
         self.pairs: dict[int, bool] = {}
@@ -80,9 +87,10 @@ class Transducer:
 
     def _forget(self) -> None:
         # A guess is (token before, trie node, tokens not yet emitted).
-        self.start = ((START, 0, ()),)
-        self.numbers = {self.start: 0}
-        self.states = [self.start]
+        # States are kept as bytes, which are smaller than tuples of tuples.
+        start = marshal.dumps(((START, 0, ()),), PLAIN)
+        self.numbers = {start: 0}
+        self.states = [start]
         self.steps: dict[int, tuple[int, bytes]] = {}
 
     def merged(self, data: bytes, below: int = 1 << 60) -> list[bytes]:
@@ -162,7 +170,7 @@ class Transducer:
     def _step(self, number: int, byte: int) -> tuple[int, bytes]:
         """The next state, and the tokens on which all of its guesses agree."""
         alive, child, token_at, pairs, longer = [], self.child, self.token_at, self.pairs, self.longer
-        for before, node, tokens in self.states[number]:
+        for before, node, tokens in marshal.loads(self.states[number]):
             node = child.get(node << 8 | byte)
             if node is None:
                 continue
@@ -186,7 +194,7 @@ class Transducer:
                 first = alive[0][2]
                 continue
             break
-        state = tuple(alive)
+        state = marshal.dumps(tuple(alive), PLAIN)
         following = self.numbers.get(state)
         if following is None:
             following = self.numbers[state] = len(self.states)
@@ -213,7 +221,7 @@ class Transducer:
             if agreed:
                 out.append(agreed)
         # At the end of the piece the guess that has just finished a token is the right one.
-        for _, node, tokens in self.states[number]:
+        for _, node, tokens in marshal.loads(self.states[number]):
             if node == 0:
                 out.extend([self.packed[t] for t in tokens])
                 break
@@ -285,21 +293,12 @@ class Tokenizer:
         yield b"", stream.finish()
 
 
-_tokenizers: dict[tuple[str, str], Tokenizer] = {}
-
-
-def tokenizer(path: str, pattern: str) -> Tokenizer:
-    """The tokenizer of this process."""
-    key = path, pattern
-    if key not in _tokenizers:
-        _tokenizers[key] = Tokenizer(path, pattern)
-    return _tokenizers[key]
-
-
 def _encoded(path: str, pattern: str, names: list[str]):
+    key = "tokenizer", path, pattern
+
     def run(batches):
-        own = tokenizer(path, pattern)
-        for batch, _, rows in slices(batches):
+        own = held(key, lambda: Tokenizer(path, pattern))
+        for batch, _, rows in slices(batches, keep=key):
             cells: list[tuple] = []
             for text in rows:
                 ids = own.encode(text.decode("utf-8", "replace"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlens.llm.arrays import PUNCTUATION, U, Words, grams, inside, slices
+from auditlens.llm.arrays import PUNCTUATION, U, Words, grams, inside, let_go, slices
 from auditlens.llm.frames import only_ids, texts, with_ids
 from auditlens.sources.staging import stage
 
@@ -86,6 +86,7 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int]:
 
 def _aligned(min_score: float):
     def run(batches):
+        let_go()
         for batch in batches:
             docs, items = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("text", "item_text"))
             out = []

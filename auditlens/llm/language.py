@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlens.llm.arrays import LOWER, slices
+from auditlens.llm.arrays import LOWER, let_go, slices
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 12, 8
 SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, BATCH, RATE = 600, 2, 8, 64, 0.01
@@ -157,6 +157,7 @@ def _guessed(net: Network | None):
     """Function of batches of texts, null where there is no letter, to languages and scores."""
 
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         for batch in batches:
             texts = batch.cast(pa.binary())
             langs, scores = [UNKNOWN] * len(texts), [1.0] * len(texts)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlens.llm.arrays import U, Words, grams, mix, seeds, slices
+from auditlens.llm.arrays import U, Words, grams, let_go, mix, seeds, slices
 from auditlens.llm.frames import components, near_roots, only_ids, texts, with_ids
 from auditlens.sources.staging import stage
 
@@ -106,6 +106,7 @@ def table_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _keys(batches):
+    let_go()
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
@@ -118,6 +119,7 @@ def _keys(batches):
 
 def _verified(size: int, percent: int):
     def run(batches):
+        let_go()
         known: dict[bytes, np.ndarray] = {}
         held = 0
 
@@ -186,6 +188,7 @@ def _across(size: int, percent: int):
     """Task: links between components in the cells of a part, as edges of a forest."""
 
     def run(group: pa.Table) -> pa.Table:
+        let_go()
         main, low, high, tile, ids, root = (np.asarray(group[c]) for c in ("main", "low", "high", "tile", "doc_id", "root"))
         texts_of = group["text"].cast(pa.binary())
         order = np.lexsort((ids, tile, high, low, main))

@@ -1,14 +1,17 @@
 """The pipeline against a brute-force version of its decisions."""
 
+import gc
 import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 import tiktoken
 
 import __spark_entry__
 import corpus_pipeline
-from auditlens.llm import bpe, secrets
+from auditlens.llm import bpe, contamination, language, minhash, secrets
 from tests.llm.test_duplicates import classes
 from tests.llm.test_scans import brute_spans, score_of, words
 
@@ -65,3 +68,36 @@ def test_all_are_registered():
     for n in range(1, 11):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
+
+
+BATCH = {"doc_id": [1], "text": ["a few words of a text"]}
+OTHERS = {
+    "windows": (language._sample_windows, BATCH | {"lang": ["en"]}),
+    "sketches": (minhash._sketches(5), BATCH),
+    "keys": (minhash._keys, {"doc_id": [1], "signature": [bytes(4 * minhash.MINHASHES)]}),
+    "verified": (minhash._verified(5, 80), {"a": [1], "b": [2], "text_a": ["x"], "text_b": ["y"]}),
+    "found": (contamination._found(np.zeros(contamination.SLOTS, bool)), BATCH),
+    "aligned": (contamination._aligned(0.5), {"doc_id": [1], "item_id": [2], "text": ["x"], "item_text": ["y"], "shifts": [[0]]}),
+}
+
+
+@pytest.mark.parametrize("name", [*OTHERS, "guess", "across"])
+def test_a_worker_drops_the_tables_of_the_operator_before(spark, name):
+    def tables():
+        gc.collect()
+        return sum(type(o) is bpe.Tokenizer for o in gc.get_objects())
+
+    tokens = bpe._encoded(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["n_tokens"])
+    before = tables()
+    for _ in range(2):
+        assert [b["n_tokens"].to_pylist() for b in tokens(iter([pa.RecordBatch.from_pydict(BATCH)]))] == [[6]]
+    assert tables() == before + 1
+    if name == "guess":
+        list(language._guessed(None).func(iter([pa.array(["text"])])))
+    elif name == "across":
+        none = {c: pa.array([], pa.int64()) for c in ("main", "low", "high", "tile", "doc_id", "root")}
+        minhash._across(5, 80)(pa.table(none | {"text": pa.array([], pa.string())}))
+    else:
+        task, columns = OTHERS[name]
+        list(task(iter([pa.RecordBatch.from_pydict(columns)])))
+    assert tables() == before

@@ -21,7 +21,7 @@ from auditlens import fixed
 from auditlens.functions.scalars import c
 from auditlens.operators.ordering import BUFFER_ROWS, exact_percentiles
 
-SCORED_ROWS = 20_000  # rows that walk the forest together
+SCORED_ROWS = 30_000  # rows that walk the forest together; their codes fit 16 bits
 
 TREE_TYPE = (
     "tree int, feature array<int>, threshold array<double>, left array<int>, "
@@ -142,14 +142,18 @@ class Scorer:
     """Forest as full binary trees in level order, ready to broadcast.
 
     Node i has its children at 2 i and 2 i + 1, so a step needs no links; a leaf above the last
-    level is repeated below. Values and thresholds are replaced by their rank among the thresholds
-    of the feature, which keeps every comparison as it is; a value's code is odd and a threshold's
-    even, so a step is the sign of a difference. Where the codes of a row fit one 64-bit word, the
-    low bits of a node say how far to shift it, else which code of the row to take. A block of rows
-    walks one tree at a time, all rows a level at once: the tree and the block both stay in the cache.
+    level is repeated below. Thresholds of a feature are known by their rank. Of these a block of
+    rows can tell apart only those with a value of its own between them, so a value's code is its
+    place among the codes that occur in the block, and codes are short: those of a row mostly fit
+    one 64-bit word. The low bits of a node then say how far to shift it, and a step is the sign
+    of a difference; else they say which code of the row to take. The first levels have few
+    nodes; each of them is compared with all rows of the block, without looking anything up. A block
+    of rows walks one tree at a time: the tree and the block both stay in the cache.
     """
 
     FEATURE_BITS = 16
+    WORD_BITS = 58  # a word is shifted by 6 bits at least, so the low bits of a node are clear of it
+    TOP_LEVELS = 3
 
     def __init__(self, trees: pd.DataFrame, tree_rows: int):
         self.count = len(trees)
@@ -170,60 +174,112 @@ class Scorer:
             self.path[k] = path[nodes]
         used = range(int(split.max()) + 1) if self.count else ()
         self.cuts = [np.unique(threshold[split == f]) for f in used]
-        # Codes lie around zero; one bit to spare keeps differences within 64 bits.
-        self.bits = [(2 * len(cuts) + 3).bit_length() + 1 for cuts in self.cuts]
-        self.narrow = sum(self.bits) <= 64
-        self.node = np.zeros((self.count, 1 << self.depth), np.int64)
+        self.starts = np.cumsum([0, *(len(cuts) for cuts in self.cuts)])
+        #: Whether the codes of any block fit one word.
+        self.narrow = sum(self._bits(len(cuts) + 1) for cuts in self.cuts) <= self.WORD_BITS
+        #: Place of the threshold of a node among those of all features, one feature after the other.
+        self.node = np.zeros((self.count, 1 << self.depth), np.int32)
         for f, cuts in enumerate(self.cuts):
-            code = 2 * np.searchsorted(cuts, threshold[split == f]) + 2 - len(cuts)
-            at = 64 - self.bits[f]
-            self.node[split == f] = (
-                (code << at) | (at - sum(self.bits[:f])) if self.narrow else (code << self.FEATURE_BITS) | f)
-
-    def _codes(self, part: np.ndarray) -> np.ndarray:
-        """Codes of a block: one word per row, or a row of codes one after the other."""
-        codes = [2 * np.searchsorted(cuts, part[:, f]) + 1 - len(cuts) for f, cuts in enumerate(self.cuts)]
-        if not self.narrow:
-            return (np.stack(codes, 1) << self.FEATURE_BITS).ravel()
-        word, low = np.zeros(len(part), np.int64), 0
-        for code, bits in zip(codes, self.bits, strict=True):
-            word |= (code & ((1 << bits) - 1)) << low
-            low += bits
-        return word
+            at = split == f
+            self.node[at] = self.starts[f] + np.searchsorted(cuts, threshold[at])
+        self.levels = min(self.TOP_LEVELS, self.depth)
+        self.tops = split[:, 1:1 << self.levels].tolist()
+        #: Node after the first levels, by the outcomes of their nodes as bits of a number.
+        self.after = np.ones(1 << max((1 << self.levels) - 1, 0), np.int64)
+        outcomes = np.arange(len(self.after))
+        for _ in range(self.levels):
+            right = (outcomes >> ((1 << self.levels) - 1 - self.after)) & 1
+            self.after = 2 * self.after + right
+
+    @staticmethod
+    def _bits(codes: int) -> int:
+        """Bits of so many codes around zero; one to spare keeps differences within 64 bits."""
+        return codes.bit_length() + 1
+
+    def _codes(self, part: np.ndarray):
+        """Per feature the codes of the block, and of each threshold the smallest code above it."""
+        codes, above = [], []
+        kind = np.int16 if len(part) < 1 << 15 else np.int32
+        for f, cuts in enumerate(self.cuts):
+            rank = np.searchsorted(cuts, part[:, f])
+            present = np.zeros(len(cuts) + 1, bool)
+            present[rank] = True
+            smaller = np.cumsum(present)
+            codes.append((smaller[rank] - 1).astype(kind))
+            above.append(smaller[:-1])
+        return codes, above
+
+    def _packed(self, codes: list[np.ndarray], above: list[np.ndarray]):
+        """One word per row and the nodes that go with it, or None where the codes need more bits."""
+        counts = [int(code.max()) + 1 for code in codes]
+        bits = [self._bits(count) for count in counts]
+        if sum(bits) > self.WORD_BITS:
+            return None
+        word, nodes, low = np.zeros(len(codes[0]), np.int64), [], 0
+        for code, more, count, width in zip(codes, above, counts, bits, strict=True):
+            centred = code.astype(np.int64) - count // 2
+            word |= (centred & ((1 << width) - 1)) << low
+            low += width
+            # Just below the smallest word that goes right; the wanted shift is what is left of 64.
+            nodes.append(((more - count // 2) << (64 - width)) - 64 + (64 - low))
+        return word, np.concatenate(nodes).take(self.node)
+
+    def _wide(self, codes: list[np.ndarray], above: list[np.ndarray]):
+        """Codes of a row one after the other, and the nodes that go with them."""
+        nodes = [((more << self.FEATURE_BITS) - (1 << self.FEATURE_BITS)) | f for f, more in enumerate(above)]
+        return (np.stack(codes, 1).astype(np.int64) << self.FEATURE_BITS).ravel(), np.concatenate(nodes).take(self.node)
 
     def score(self, values: np.ndarray, block: int = SCORED_ROWS) -> np.ndarray:
         """Anomaly score in (0, 1] per row of ``values``."""
         out = np.empty(len(values))
-        mask = 63 if self.narrow else (1 << self.FEATURE_BITS) - 1
         for start in range(0, len(values), block):
-            codes = self._codes(np.asarray(values[start:start + block], float))
-            n = min(block, len(values) - start)
-            base = np.arange(n) * len(self.cuts)
-            total, leaf = np.zeros(n), np.empty(n)
-            at, step, place, value = (np.empty(n, np.int64) for _ in range(4))
-            for node, path in zip(self.node, self.path, strict=True):
-                at[:] = 1
-                for _ in range(self.depth):
-                    node.take(at, out=step, mode="clip")
-                    np.bitwise_and(step, mask, out=place)
-                    if self.narrow:
-                        np.left_shift(codes, place, out=value)
-                    else:
-                        place += base
-                        codes.take(place, out=value, mode="clip")
-                    step -= value
-                    step >>= 63  # -1 where the value is above the threshold
-                    at += at
-                    at -= step
-                at -= 1 << self.depth
-                total += path.take(at, out=leaf, mode="clip")
-            out[start:start + block] = 2.0 ** (-total / self.scale)
+            total = self._paths(np.asarray(values[start:start + block], float))
+            # One by one, as the vectorised power differs in the last digit between machines.
+            out[start:start + block] = [2.0 ** x for x in (-total / self.scale).tolist()]
         return out
 
+    def _paths(self, part: np.ndarray) -> np.ndarray:
+        """Sum of the path lengths of all trees per row."""
+        n = len(part)
+        total = np.zeros(n)
+        if not self.cuts:
+            return total
+        codes, above = self._codes(part)
+        packed = self._packed(codes, above)
+        words, nodes = packed or self._wide(codes, above)
+        mask = 63 if packed else (1 << self.FEATURE_BITS) - 1
+        firsts = np.concatenate(above).take(self.node[:, 1:1 << self.levels]).tolist()
+        base = None if packed else np.arange(n) * len(codes)
+        leaf, hit, outcome = np.empty(n), np.empty(n, bool), np.empty(n, np.uint8)
+        step, place, value = (np.empty(n, np.int64) for _ in range(3))
+        for node, path, tops, limits in zip(nodes, self.path, self.tops, firsts, strict=True):
+            outcome[:] = 0
+            for f, limit in zip(tops, limits, strict=True):
+                np.greater_equal(codes[f], limit, out=hit)
+                outcome += outcome
+                outcome += hit.view(np.uint8)
+            at = self.after.take(outcome)
+            for _ in range(self.depth - self.levels):
+                node.take(at, out=step, mode="clip")
+                np.bitwise_and(step, mask, out=place)
+                if packed:
+                    np.left_shift(words, place, out=value)
+                else:
+                    place += base
+                    words.take(place, out=value, mode="clip")
+                step -= value
+                step >>= 63  # -1 where the value is above the threshold
+                at += at
+                at -= step
+            at -= 1 << self.depth
+            total += path.take(at, out=leaf, mode="clip")
+        return total
+
 
 def collect_forest(trees: DataFrame) -> pd.DataFrame:
-    """Forest on the driver; its size is bounded by trees x 2 x rows per tree."""
-    return trees.orderBy("tree").toPandas()
+    """Forest on the driver, by tree; its size is bounded by trees x 2 x rows per tree. Sorted here,
+    as a sort in Spark would grow every tree a second time to find the ranges of its tasks."""
+    return trees.toPandas().sort_values("tree", ignore_index=True)
 
 
 def score_column(spark: SparkSession, trees: pd.DataFrame, tree_rows: int, vector: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auditlens.functions.features import FeatureRule
 from auditlens.functions.scalars import c
 from auditlens.model.forest import (
-    ForestParams, Scorer, average_path, collect_forest, fit_forest, grow_tree, ml_flag, score_column,
+    TREE_TYPE, ForestParams, Scorer, average_path, collect_forest, fit_forest, grow_tree, ml_flag, score_column,
     tree_samples,
 )
 from auditlens.model.io import load_model, save_model
@@ -95,6 +95,33 @@ def test_scores_are_those_of_the_linked_trees(width):
     assert np.array_equal(scorer.score(values, block=100), walked(trees, 64, values))
 
 
+def test_codes_of_a_block_fit_one_word():
+    """Features of few values take few bits, however many thresholds the forest has."""
+    rng = np.random.default_rng(5)
+    seen = np.concatenate([rng.normal(size=(2000, 2)), rng.integers(0, 50, (2000, 1)), rng.integers(0, 2, (2000, 6))], 1)
+    trees = pd.DataFrame([
+        {"tree": k, **grow_tree(seen[rng.permutation(2000)[:128]], 7, np.random.default_rng(k))} for k in range(200)])
+    scorer = Scorer(trees, 128)
+    assert not scorer.narrow and scorer._packed(*scorer._codes(seen)) is not None
+    assert np.array_equal(scorer.score(seen[:300]), walked(trees, 128, seen[:300]))
+
+
+def test_each_tree_is_grown_once(spark):
+    grown = spark.sparkContext.accumulator(0)
+
+    def grow(key, group):
+        grown.add(1)
+        return pd.DataFrame([{"tree": int(key[0]), "feature": [0], "threshold": [0.0], "left": [0], "right": [0], "path": [1.0]}])
+
+    groups = spark.range(0, 300, 1, 6).groupBy((c("id") % 30).cast("int").alias("tree"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        trees = collect_forest(groups.applyInPandas(grow, TREE_TYPE))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert trees["tree"].tolist() == list(range(30)) and grown.value == 30
+
+
 def test_batches_are_scored_together(spark, monkeypatch):
     """Several batches walk the forest as one block; NULL vectors and the order of rows stay."""
     rows = spark.range(0, 900, 1, 2).select("id", F.when(c("id") % 7 != 0, F.array(

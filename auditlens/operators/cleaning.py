@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -40,6 +41,9 @@ def invoice_keys(columns: Sequence[str], tables: Sequence[str]) -> list[InvoiceK
     return found
 
 
+#: White space of Java's ``\\s``.
+BLANKS = " \t\n\x0b\f\r"
+
 # --- duplicate groups -------------------------------------------------------------------------
 
 
@@ -63,7 +67,7 @@ def in_duplicate_group(df: DataFrame, keys: Sequence[str], name: str) -> DataFra
 
 
 def _void(key: InvoiceKey) -> Column:
-    word = F.lower(F.regexp_replace(c(key.status).cast("string"), r"^\s+|\s+$", ""))
+    word = F.lower(F.btrim(c(key.status).cast("string"), F.lit(BLANKS)))
     return F.coalesce(word == "v", F.lit(False))
 
 
@@ -236,19 +240,41 @@ class FeatureColumns:
         return [*self.numeric, *self.boolean, *self.categorical]
 
 
+#: Marks per allowed value by which columns of many values are told apart.
+MARKS_PER_VALUE = 8
+#: Columns whose combinations of values are counted together.
+COMBINED_COLUMNS = 3
+
+
+def _fewest(df: DataFrame, columns: Sequence[str], limit: int) -> list[int]:
+    """Per column a number of distinct values that it has at least: the marks that its values set
+    in a bit map. Plain aggregates of one pass; NULL sets none. Runs a job."""
+    words = max(1, math.ceil(MARKS_PER_VALUE * limit / 64))
+    marks = df.select(*[F.when(c(n).isNotNull(), F.pmod(F.xxhash64(c(n).cast("string")), F.lit(64 * words)))
+                        .alias(f"m{i}") for i, n in enumerate(columns)])
+    row = _run(marks, [
+        F.bit_or(F.expr(f"CASE WHEN m{i} DIV 64 = {word} THEN shiftleft(1L, CAST(m{i} % 64 AS INT)) END"))
+        for i in range(len(columns)) for word in range(words)])
+    bits = [((value or 0) & (2**64 - 1)).bit_count() for value in row]
+    return [sum(bits[i * words:(i + 1) * words]) for i in range(len(columns))]
+
+
 def few_valued(df: DataFrame, columns: Sequence[str], limit: int) -> list[str]:
-    """Columns with at most ``limit`` distinct values. Runs up to two jobs.
+    """Columns with at most ``limit`` distinct values. Runs jobs: one for all columns, and one for
+    every few columns that are left.
 
-    A sketch rules out the columns that are far above; only the rest is counted exactly, so
-    no job ever shuffles the values of a high-cardinality column.
+    Marks rule out the columns with more values; one with far more passes with next to no
+    probability. The rest is counted exactly, after the combinations of a few columns are reduced to
+    distinct ones, so no job shuffles the values of a high-cardinality column.
     """
     if not columns:
         return []
-    rough = _run(df, [F.approx_count_distinct(c(n).cast("string"), 0.02) for n in columns])
-    near = [n for n, k in zip(columns, rough) if k <= 2 * limit + 2]
-    if not near:
-        return []
-    exact = {r[0]: r[1] for r in cardinality(df, near).collect()}  # one row per column
+    near = [n for n, k in zip(columns, _fewest(df, columns, limit)) if k <= limit]
+    exact = {}
+    for start in range(0, len(near), COMBINED_COLUMNS):
+        some = near[start:start + COMBINED_COLUMNS]
+        combined = df.select(*[c(n) for n in some]).distinct()
+        exact.update((r[0], r[1]) for r in cardinality(combined, some).collect())  # one row per column
     return [n for n in near if exact.get(n, 0) <= limit]
 
 

@@ -2,8 +2,9 @@
 
 Spark's own ``percentile`` keeps every distinct value of a column in one buffer, and a large
 ``orderBy().limit()`` merges all candidates in one task. Beyond a size limit the functions
-here bracket the wanted rank with sketches, count exactly around the bracket and repeat; the
-result is the same, and each pass returns a few numbers per column.
+here count values by buckets, go on with the bucket that holds the wanted rank and repeat; where
+buckets do not divide the values, sketches bracket the rank and counts around it are exact. The
+result is the same, and each pass returns a few numbers per column or bucket.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from auditlens.sources.staging import stage
 BUFFER_ROWS = 2_000_000  # values one aggregation buffer may hold
 SORTED_ROWS = 10_000  # rows one task may merge for a page
 SKETCH_ACCURACY = 2_000
+BUCKETS = 4_096  # equal parts of the range of values that one pass counts
+BUCKET_PASSES = 3  # passes over buckets before sketches take over
 
 
 @dataclass(eq=False)
@@ -36,6 +39,9 @@ class _Target:
     below: int = 0
     inside: int = 0
     found: float | int | None = None
+    least: float | int | None = None  # of the values inside, once they were counted by buckets
+    most: float | int | None = None
+    passes: int = 0
 
     def within(self) -> Column:
         inside = self.value.isNotNull()
@@ -67,8 +73,12 @@ def _select_ranks(df: DataFrame, targets: list[_Target], buffer_rows: int) -> No
             for group, values in zip(small, _run(df, [_pick(g) for g in small])):
                 for t, value in zip(group, values):
                     t.found = value
+        counted = [g for g in large if _divisible(g[0])]
+        if counted:
+            _count_buckets(df, counted)
+        large = [g for g in large if g not in counted]
         if not large:
-            return
+            continue
         pivots = [
             (t, *values[2 * i:2 * i + 2])
             for group, values in zip(large, _run(df, [_brackets(g) for g in large]))
@@ -94,6 +104,55 @@ def _pick(group: list[_Target]) -> Column:
     return bind(ordered, lambda values: F.array(*[F.element_at(values, n) for n in places]))
 
 
+def _divisible(t: _Target) -> bool:
+    """Whether another pass over buckets is worth trying."""
+    return t.passes < BUCKET_PASSES and all(v is None or math.isfinite(v) for v in (t.least, t.most))
+
+
+def _bucket(t: _Target) -> Column:
+    """Number of the bucket of a value, which never falls as the value grows: first by the order of
+    magnitude, so that a few far values do not fill the range, then in equal parts of the range."""
+    x = t.value.cast("double")
+    if t.least is None:
+        scaled = F.signum(x) * F.log1p(F.abs(x)) * 64
+    else:
+        low, high = float(t.least) / 2, float(t.most) / 2
+        scaled = (x / 2 - low) / ((high - low) or 1.0) * BUCKETS
+    return F.floor(F.least(F.greatest(scaled, F.lit(-1e6)), F.lit(1e6)))
+
+
+def _count_buckets(df: DataFrame, groups: list[list[_Target]]) -> None:
+    """One pass that counts the values of each group by buckets, and moves the interval of every
+    target to the bucket of its rank. What comes back is a few numbers per bucket."""
+    entries = [F.when(g[0].within(), F.struct(
+        F.lit(i).alias("g"), _bucket(g[0]).alias("b"), g[0].value.alias("v"))) for i, g in enumerate(groups)]
+    rows = df.select((F.explode(F.array(*entries)) if len(entries) > 1 else entries[0]).alias("e")).where("e IS NOT NULL")
+    found = rows.groupBy("e.g", "e.b").agg(
+        F.count("*").alias("n"), F.min("e.v").alias("least"), F.max("e.v").alias("most"))
+    buckets: dict[int, list] = {}
+    for row in sorted(found.collect(), key=lambda r: (r["g"], r["b"])):
+        buckets.setdefault(row["g"], []).append(row)
+    for i, group in enumerate(groups):
+        for t in group:
+            _enter(t, buckets[i])
+
+
+def _enter(t: _Target, buckets: list) -> None:
+    """Narrow a target to the bucket of its rank; ``buckets`` are those of its interval, in order."""
+    t.passes += 1
+    for k, row in enumerate(buckets):
+        if t.rank - t.below < row["n"]:
+            break
+        t.below += row["n"]
+    t.inside, t.least, t.most = row["n"], row["least"], row["most"]
+    if k:
+        t.low = buckets[k - 1]["most"]
+    if k + 1 < len(buckets):
+        t.high = buckets[k + 1]["least"]
+    if t.least == t.most:
+        t.found = t.least
+
+
 def _brackets(group: list[_Target]) -> Column:
     """Two values around the place of each target, from one sketch."""
     first, around = group[0], []

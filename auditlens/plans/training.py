@@ -25,6 +25,7 @@ from auditlens.operators.joins import training_join
 from auditlens.operators.ordering import first_rows
 from auditlens.operators.projection import with_model_names
 from auditlens.operators.rules import exclude_rule_rows, training_rules
+from auditlens.session import hash_joins
 from auditlens.sources.catalog import Catalog
 from auditlens.sources.staging import spread, stage
 
@@ -84,16 +85,19 @@ def with_content_ids(features: DataFrame) -> DataFrame:
     another layout of the files gives the same ids, samples and trees.
 
     Equal rows cannot be told apart; they are counted (with map-side combine) and numbered from
-    the count, a few thousand at a time, so that no task holds all copies of one row.
+    the count where they are. Of more than a few thousand copies each lot is sent to a place of its
+    own, so that no task holds all copies of one row.
     """
     counted = features.groupBy(*[c(n) for n in features.columns]).agg(F.count("*").alias("__copies"))
-    lots = counted.withColumn("__lot", F.explode(F.sequence(
+    few = counted.where(F.col("__copies") <= COPIES_AT_ONCE).withColumn(
+        "__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
+    lots = counted.where(F.col("__copies") > COPIES_AT_ONCE).withColumn("__lot", F.explode(F.sequence(
         F.lit(0), F.floor((F.col("__copies") - 1) / COPIES_AT_ONCE))))
     first = F.col("__lot") * COPIES_AT_ONCE
     last = F.least(first + COPIES_AT_ONCE, F.col("__copies")) - 1
-    copies = lots.repartition("__lot", *[c(n) for n in features.columns]).withColumn(
-        "__copy", F.explode(F.sequence(first, last)))
-    return copies.select(
+    many = lots.repartition("__lot", *[c(n) for n in features.columns]).withColumn(
+        "__copy", F.explode(F.sequence(first, last))).drop("__lot")
+    return few.unionByName(many).select(
         *[c(n) for n in features.columns],
         F.xxhash64(*[c(n) for n in features.columns], F.col("__copy")).alias("row_id"))
 
@@ -103,11 +107,12 @@ def train_dataset(
 ) -> Model:
     """Train one dataset and report the row counts of each step."""
     tables = list(fixed.DATASETS[dataset])
-    source_count = training_count(catalog, dataset, options).first()[0]
     source = training_source(catalog, dataset, options)
-    order = training_order(source.columns, tables)
-    raw = stage(with_model_names(training_sample(source, order, options.max_rows)), "training-raw")
-    return train_frame(raw, dataset, tables, options, source_count)
+    with hash_joins(source.sparkSession):
+        source_count = training_count(catalog, dataset, options).first()[0]
+        order = training_order(source.columns, tables)
+        raw = stage(with_model_names(training_sample(source, order, options.max_rows)), "training-raw")
+        return train_frame(raw, dataset, tables, options, source_count)
 
 
 def train_frame(
@@ -136,13 +141,14 @@ def train_frame(
         raise ValueError(f"No usable feature columns for dataset {dataset}.")
     booleans = {n: norm_bool(c(n)) for n in chosen.boolean}
     ready = wide.withColumns(booleans) if booleans else wide
-    features = stage(ready.select(*[c(n) for n in chosen.inputs]), "training-features")
-    total = features.count()
+    # The same rows as ``ready``, written once: with their ids, which the forest needs.
+    numbered = stage(with_content_ids(ready.select(*[c(n) for n in chosen.inputs])), "training-features")
+    features = numbered.drop("row_id")
+    total = numbered.count()
     counts.update(after_invoices=no_void.count(), after_night=day.count() if pairs else total,
                   after_sequence=total, training=total)
 
     preprocessor = fit_preprocessor(features, chosen)
-    numbered = stage(with_content_ids(features), "training-numbered")
     vectors = spread(numbered, numbered.select("row_id", preprocessor.vector().alias("features")))
     grown = fit_forest(vectors, total, options.forest)
     trees = collect_forest(grown)

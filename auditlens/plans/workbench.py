@@ -26,6 +26,7 @@ from auditlens.operators.signals import SIGNAL_TYPE
 from auditlens.operators.summaries import amount_total, run_counters
 from auditlens.operators.user_rules import apply_user_rules
 from auditlens.plans.request import RunRequest
+from auditlens.session import hash_joins
 from auditlens.sources.catalog import Catalog
 from auditlens.sources.results import ResultStore
 from auditlens.sources.staging import spread, stage, staging_scope
@@ -129,7 +130,7 @@ def run_workbench(
 ) -> dict:
     """Run a request and store its anomalies, related keys and record as one unit. Returns the
     record. Nothing that was staged on the way remains."""
-    with staging_scope(store.spark):
+    with staging_scope(store.spark), hash_joins(store.spark):
         return _run(catalog, request, model, store, keep_rule_rows, dataset_defaults)
 
 

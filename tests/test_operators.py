@@ -39,6 +39,48 @@ def test_percentiles_match_numpy_beyond_the_buffer(spark, shape):
     assert got["e"] == [None] * len(probabilities)
 
 
+@pytest.mark.parametrize("shape", ["far", "whole", "infinite"])
+def test_percentiles_are_found_by_counting_buckets(spark, monkeypatch, shape):
+    """Without sketches, also beside far values; infinite ones leave the buckets to sketches."""
+    rng = np.random.default_rng(4)
+    data = {
+        "far": np.concatenate([rng.lognormal(3, 4, 6000), [-1e300, 1e300, 1e-300, 0.0, -0.0]]),
+        "whole": rng.integers(10**15, 10**15 + 10**7, 6000).astype(float),
+        "infinite": np.concatenate([rng.normal(size=3000), [np.inf] * 900, [-np.inf] * 900]),
+    }[shape]
+    df = spark.createDataFrame([(float(v), float(-v)) for v in data], "x double, y double")
+    if shape != "infinite":
+        monkeypatch.setattr(O, "_brackets", lambda group: pytest.fail("a sketch was used"))
+    probabilities = [0.1, 0.4, 0.5, 0.98] if shape != "infinite" else [0.3, 0.5, 0.7]
+    got = O.exact_percentiles(df, ["x", "y"], probabilities, buffer_rows=300)
+    for name, values in (("x", data), ("y", -data)):
+        assert np.allclose(got[name], np.quantile(values, probabilities), rtol=1e-12)
+
+
+def test_few_valued_columns_are_counted_without_sketches(spark, monkeypatch):
+    """Exactly at the limit, with NULLs, and without shuffling the values of a column of many."""
+    df = spark.range(0, 4000, 1, 4).select(
+        (c("id") % 10).cast("string").alias("ten"), (c("id") % 11).cast("string").alias("eleven"),
+        c("id").cast("string").alias("many"), F.lit(None).cast("string").alias("none"),
+        F.when(c("id") % 3 > 0, (c("id") % 7).cast("string")).alias("gaps"))
+    counted, cardinality = [], C.cardinality
+    monkeypatch.setattr(C, "cardinality", lambda df, names: counted.append(df.count()) or cardinality(df, names))
+    monkeypatch.setattr(C.F, "approx_count_distinct", lambda *a: pytest.fail("a sketch was used"))
+    assert C.few_valued(df, df.columns, 10) == ["ten", "none", "gaps"]
+    assert max(counted) < 4000 and C.few_valued(df, df.columns, 11) == ["ten", "eleven", "none", "gaps"]
+
+
+def test_hash_joins_end_with_their_scope(spark):
+    from auditlens.session import HASHED_PARTITION, hash_joins
+
+    names = ["spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = [spark.conf.get(n) for n in names]
+    with pytest.raises(ValueError), hash_joins(spark):
+        assert [spark.conf.get(n) for n in names] == [HASHED_PARTITION] * 2
+        raise ValueError
+    assert [spark.conf.get(n) for n in names] == before
+
+
 def test_first_rows_turns_the_cut_into_a_filter(spark):
     rng = np.random.default_rng(5)
     rows = [(int(d) if d < 20 else None, i) for i, d in enumerate(rng.integers(0, 25, 3000))]

@@ -59,8 +59,9 @@ def in_duplicate_group(df: DataFrame, keys: Sequence[str], name: str) -> DataFra
         .where("__members > 1")
     )
     on = [c(k) == F.col(f"__{i}") for i, k in enumerate(keys)]
+    # Keys of the groups are unique, so their hash tables are even; the rows need no sort.
     return (
-        df.join(groups, on, "left")
+        df.join(groups.hint("shuffle_hash"), on, "left")
         .withColumn(name, F.col("__members").isNotNull())
         .drop("__members", *[f"__{i}" for i in range(len(keys))])
     )

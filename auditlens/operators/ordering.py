@@ -318,11 +318,18 @@ def page(
     row.
 
     A near page is a top-k. For a far one the rows before the offset are left out by rank
-    selection on the same order, so no task ever merges the skipped rows. Both give the same page.
+    selection on the same order, so no task ever merges the skipped rows. Of a page of very many
+    rows the end becomes a filter too, so that it is sorted in many tasks and never gathered in one;
+    only where the cut falls between rows that are equal as a whole it is a limit. All give the same
+    page.
     """
     order = [c(key).desc_nulls_last() if descending else c(key).asc_nulls_last(), _tie(df)]
     if offset + limit <= sorted_rows:
         return df.orderBy(*order).offset(offset).limit(limit)
     number = -c(key).cast("long") if descending else c(key).cast("long")
     kept, _, left = _cut(df, df, [number], offset, buffer_rows)
+    if limit > sorted_rows and not left:
+        within, _, more = _cut(df, df, [number], offset + limit, buffer_rows)
+        if not more:
+            return df.where(within & ~kept).orderBy(*order)
     return df.where(~kept).orderBy(*order).offset(left).limit(limit)

@@ -115,10 +115,14 @@ def key_counts(catalog: Catalog, counts: Sequence[KeyCount]) -> DataFrame:
 # --- duplicate invoices -----------------------------------------------------------------------
 
 
-def _marked_invoices(df: DataFrame, keys: DuplicateKeys) -> DataFrame:
-    """Rows with status V and a full invoice key, one per distinct related key, with counts.
+def _marked_invoices(
+    df: DataFrame, keys: DuplicateKeys, wanted: DataFrame | None = None
+) -> DataFrame:
+    """Rows with status V and an invoice key that two or more of them share, one per distinct
+    related key, with counts; ``wanted`` (invoice_number, invoice_date) leaves other invoices out.
 
-    Grouping by the related key as well spreads a hot invoice over many tasks.
+    Rows are counted by invoice first, so only those of duplicates, mostly few, are told apart by
+    their related key; grouping by that key as well spreads a hot invoice over many tasks.
     """
     day = safe_date(c(keys.date), df.schema[keys.date].dataType)
     related = text_of(c(keys.related), df.schema[keys.related].dataType) if keys.related else (
@@ -127,10 +131,15 @@ def _marked_invoices(df: DataFrame, keys: DuplicateKeys) -> DataFrame:
     rows = df.where(status(c(keys.status)) == "V").select(
         c(keys.invoice).alias("invoice_key"), day.alias("invoice_date_key"),
         related.alias("related_key"),
-    )
-    return rows.where(
-        F.col("invoice_key").isNotNull() & F.col("invoice_date_key").isNotNull()
-    ).groupBy("invoice_key", "invoice_date_key", "related_key").agg(F.count("*").alias("rows"))
+    ).where(F.col("invoice_key").isNotNull() & F.col("invoice_date_key").isNotNull())
+    if wanted is not None:
+        rows = rows.join(
+            wanted, (F.col("invoice_key").cast("string") == wanted["invoice_number"])
+            & (F.col("invoice_date_key").cast("string") == wanted["invoice_date"]), "left_semi")
+    invoice = ["invoice_key", "invoice_date_key"]
+    twice = rows.groupBy(*invoice).agg(F.count("*").alias("rows")).where("rows >= 2").select(*invoice)
+    return rows.join(twice.hint("shuffle_hash"), invoice, "left_semi").groupBy(*invoice, "related_key").agg(
+        F.count("*").alias("rows"))
 
 
 def duplicate_keys(df: DataFrame, keys: DuplicateKeys) -> DataFrame:
@@ -144,12 +153,13 @@ def duplicate_keys(df: DataFrame, keys: DuplicateKeys) -> DataFrame:
     )
 
 
-def related_keys(df: DataFrame, keys: DuplicateKeys) -> DataFrame:
-    """All related keys of all duplicate invoices, one row each: a shape that holds for groups
-    of any size. The hot side of the join is split, as both sides are plain exchanges."""
-    marked = _marked_invoices(df, keys).where(F.col("related_key").isNotNull())
-    groups = duplicate_keys(df, keys).select("invoice_key", "invoice_date_key")
-    return marked.join(groups, ["invoice_key", "invoice_date_key"], "left_semi").select(
+def related_keys(
+    df: DataFrame, keys: DuplicateKeys, wanted: DataFrame | None = None
+) -> DataFrame:
+    """All related keys of all duplicate invoices, or of the ``wanted`` ones among them, one row
+    each: a shape that holds for groups of any size. The hot side of the join is split, as both
+    sides are plain exchanges."""
+    return _marked_invoices(df, keys, wanted).where(F.col("related_key").isNotNull()).select(
         F.lit(keys.table).alias("table"), F.col("invoice_key").cast("string").alias("invoice_number"),
         F.col("invoice_date_key").cast("string").alias("invoice_date"), "related_key")
 
@@ -184,10 +194,11 @@ def duplicate_invoices(
     stores them beside its anomalies.
     """
     groups = duplicate_keys(df, keys)
+    # NULL keys are left out by the list itself: a filter would go down to the rows, which would
+    # then be read and counted once for the groups and once for the lists.
     lists = (
         _marked_invoices(df, keys)
-        .where(F.col("related_key").isNotNull())
-        .join(groups.where(F.col("related_key_count") <= inline_keys),
+        .join(groups.where(F.col("related_key_count").between(1, inline_keys)),
               ["invoice_key", "invoice_date_key"], "left_semi")
         .groupBy("invoice_key", "invoice_date_key")
         .agg(F.array_sort(F.collect_list("related_key")).alias("related_keys"))
@@ -411,8 +422,9 @@ def with_rule_inputs(df: DataFrame, catalog: Catalog, rules: Sequence[Rule]) ->
             F.struct("duplicate_count", "related_keys", "related_key_count").alias(keys.name),
         )
         day = f"{keys.table}.{keys.date}"
+        # Invoices are unique there and lists bounded, so hash tables are even; rows need no sort.
         df = df.join(
-            groups,
+            groups.hint("shuffle_hash"),
             (c(f"{keys.table}.{keys.invoice}") == F.col("__invoice"))
             & (safe_date(c(day), df.schema[day].dataType) == F.col("__day")),
             "left",

@@ -199,8 +199,8 @@ def _run(
     told = stage(found.select(F.explode("sql_rule_evidence").alias("e")).select(
         *[F.col("e")[n].alias(n) for n in INVOICE]).distinct(), "invoices")
     for keys in flagged.duplicates:
-        writer.write_related(
-            related_keys(catalog.table(keys.table), keys).join(told, list(INVOICE), "left_semi"))
+        wanted = told.where(c("table") == F.lit(keys.table)).select(*INVOICE[1:])
+        writer.write_related(related_keys(catalog.table(keys.table), keys, wanted))
     record = {
         **base, "total_rows": total, "user_rule_count": by_model["user_rule_count"],
         "ml_anomaly_count": by_model["ml_anomaly_count"],

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +105,52 @@ def test_far_pages_equal_sorted_pages(spark, descending):
         assert [r[0] for r in got.collect()] == want[offset:offset + 10]
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_large_pages_are_not_gathered_in_one_task(spark, descending):
+    df = spark.range(0, 3000, 1, 4).select((c("id") * 7 % 3001).alias("id"), F.lit("x").alias("t"))
+    want = sorted((r[0] for r in df.collect()), reverse=descending)
+    for offset, limit in ((0, 5000), (0, 400), (900, 1200), (2900, 700), (4000, 300)):
+        got = O.page(df, "id", limit=limit, offset=offset, descending=descending, sorted_rows=50, buffer_rows=100)
+        assert [r[0] for r in got.collect()] == want[offset:offset + limit]
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Limit" not in plan and "Offset" not in plan
+    equal = df.select(F.lit(1).alias("id"))
+    assert O.page(equal, "id", limit=700, offset=200, sorted_rows=50, buffer_rows=100).count() == 700
+
+
+def test_duplicate_groups_are_joined_without_a_sort(spark):
+    """Rows that are looked up in unique groups are not sorted for it."""
+    rows = spark.range(0, 400).select(
+        (c("id") % 150).alias("b_invoice_no"), F.lit("2024-01-01").cast("date").alias("b_invoice_date"),
+        F.when(c("id") % 2 == 0, " V\n").otherwise("P").alias("b_record_status"), "id")
+    kept = C.drop_void_duplicates(rows, C.invoice_keys(rows.columns, ["b"]))
+    assert sorted(r["id"] for r in kept.collect()) == [i for i in range(400) if i % 2]
+    bill = rows.select(c("b_invoice_no").alias("invoice_no"), c("b_invoice_date").alias("invoice_date"),
+                       F.trim(F.lit("v")).alias("record_status"), c("id").alias("fk_dak"))
+    keys = R.DuplicateKeys("bill", "invoice_no")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        wide = R.with_rule_inputs(qualify(bill, "bill"), Catalog({"bill": bill}), [R.Rule("", F.lit(True), duplicates=keys)])
+        for df in (kept, wide.select("`bill.fk_dak`", F.col(keys.name)["duplicate_count"])):
+            plan = df._jdf.queryExecution().sparkPlan().toString()
+            assert re.search(r"\w+Join\b", plan).group() == "ShuffledHashJoin"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_related_keys_of_wanted_invoices(spark):
+    bill = spark.createDataFrame(
+        [("A", 1), ("A", 2), ("A", 2), ("B", 3), ("B", 4), ("C", 5), ("D", None), ("D", 6)], "invoice_no string, fk_dak int")
+    bill = bill.withColumns({"invoice_date": F.lit("2024-01-01").cast("date"), "record_status": F.lit(" v")})
+    keys = R.DuplicateKeys("bill", "invoice_no")
+    every = {(r["invoice_number"], r["related_key"]) for r in R.related_keys(bill, keys).collect()}
+    assert every == {("A", "1"), ("A", "2"), ("B", "3"), ("B", "4"), ("D", "6")}
+    wanted = spark.createDataFrame([("A", "2024-01-01"), ("C", "2024-01-01"), ("B", "2024-01-02")],
+                                   "invoice_number string, invoice_date string")
+    some = R.related_keys(bill, keys, wanted).collect()
+    assert sorted((r["table"], r["invoice_number"], r["related_key"]) for r in some) == [("bill", "A", "1"), ("bill", "A", "2")]
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_pages_and_first_rows_are_the_same_on_both_sides_of_the_size_limit(spark, descending):
     rows = [(i // 3 if i < 300 else None, f"t{i % 50}", {"a": i % 70}) for i in range(400)]
